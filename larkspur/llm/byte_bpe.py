@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .piecewise import byte_level
 
 RANKS = "byte_bpe_50k.tiktoken"
 MODEL = "byte_bpe_50k.json"
-BATCH_CHARS = 400_000
 
 
 def byte_chars() -> dict[int, str]:
@@ -32,15 +32,6 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-@lru_cache(maxsize=2)
-def encoder(model: str = MODEL):
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(public_tokenizers.path(model))
-    tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
-    return tokenizer
-
-
 @lru_cache(maxsize=2)
 def byte_table(ranks: str = RANKS) -> tuple[np.ndarray, np.ndarray]:
     """All tokens' bytes one after the other, and where each starts (ids ascending)."""
@@ -53,17 +44,9 @@ def byte_table(ranks: str = RANKS) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode(texts: list[str], model: str = MODEL) -> Iterator[np.ndarray]:
-    """Ids (uint32) of each text; a batch holds a bounded number of characters."""
-    part: list[str] = []
-    size = 0
-    for text in [*texts, None]:
-        if part and (text is None or size + len(text) > BATCH_CHARS):
-            for x in encoder(model).encode_batch_fast(part, add_special_tokens=False):
-                yield np.array(x.ids, dtype=np.uint32)
-            part, size = [], 0
-        if text is not None:
-            part.append(text)
-            size += len(text)
+    """Ids (uint32) of each text."""
+    coder = byte_level(model)
+    return (np.frombuffer(coder(text), dtype="<u4") for text in texts)
 
 
 def decode(ids: np.ndarray, ranks: str = RANKS) -> bytes:

@@ -28,15 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/larkspur-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, keep: int | None = None) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage, survives lost executors.
-
-    ``keep`` bounds the number of files.
-    """
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    out = df if keep is None else df.coalesce(keep)
-    out.write.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
