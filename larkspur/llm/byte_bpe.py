@@ -17,6 +17,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import table
 from .piecewise import byte_level
@@ -71,7 +72,7 @@ def offsets(ids: np.ndarray, ranks: str = RANKS) -> np.ndarray:
 
 def encode_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (array of int): whole texts, null as empty."""
-    schema = docs.drop("ids").schema.add("ids", "array<int>")
+    schema = docs.drop("ids").schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
