@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, packed_ids, quality_rules, rotated_codes, url_filter
+from . import byte_bpe, packed_ids, quality_rules, rotated_codes, toxicity, url_filter
 
 QUERIES = {
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op5_url_filter": url_filter.op5_url_filter,
     "op7_rotated_codes": rotated_codes.op7_rotated_codes,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_packed_ids": packed_ids.op10_packed_ids,
 }

@@ -13,6 +13,7 @@ and a meeting returns at most k rows for each query.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,33 +24,44 @@ from pyspark.sql import functions as F
 from .common import table
 
 FIT_ROWS = 10_000  # the centre is the mean of so many rows at most
-VECTOR_BLOCK, QUERY_BLOCK = 4096, 512
+VECTOR_BLOCK, QUERY_BLOCK = 16_384, 512
 ERROR_WIDTH = 4.0
+TURNS = 2  # independent rotations; their estimates are averaged
 SEED = 20
 
 
-def rotation(d: int, seed: int = SEED) -> np.ndarray:
+@lru_cache(maxsize=16)
+def rotation(d: int, seed: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))
     return q * np.sign(np.diag(r))
 
 
-def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed sign bits, lengths and correction scalars of ``vectors`` (n x d)."""
-    rest = (vectors - centre) @ turn
-    length = np.linalg.norm(rest, axis=1)
-    unit = rest / np.where(length > 0, length, 1)[:, None]
-    match = np.abs(unit).sum(axis=1) / np.sqrt(vectors.shape[1])
-    return np.packbits(rest > 0, axis=1), length, np.where(match > 0, match, 1)
+def encode(vectors: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ``vectors`` (n x d): packed sign bits of each rotation, lengths, correction scalars of each rotation."""
+    d = vectors.shape[1]
+    bits, match = [], []
+    for turn in range(TURNS):
+        rest = (vectors - centre) @ rotation(d, SEED + turn)
+        length = np.linalg.norm(rest, axis=1)
+        m = np.abs(rest).sum(axis=1) / np.sqrt(d) / np.where(length > 0, length, 1)
+        bits.append(np.packbits(rest > 0, axis=1))
+        match.append(np.where(m > 0, m, 1))
+    return np.stack(bits), length, np.stack(match)
 
 
-def estimate(bits: np.ndarray, length: np.ndarray, match: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def estimate(bits: np.ndarray, length: np.ndarray, match: np.ndarray, queries: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Estimated inner products (queries x vectors) and their error bounds."""
     d = queries.shape[1]
-    signs = np.unpackbits(bits, axis=1, count=d).astype(np.float32) * 2 - 1
-    turned = (queries @ turn).astype(np.float32)
-    about = (turned @ signs.T) / np.float32(np.sqrt(d)) * (length / match)[None, :]
-    spread = length * np.sqrt(np.maximum(1 - match**2, 0)) / match / np.sqrt(max(d - 1, 1))
-    return about + (queries @ centre)[:, None], ERROR_WIDTH * np.linalg.norm(queries, axis=1)[:, None] * spread[None, :] + 1e-5
+    about = np.zeros((len(queries), len(length)), np.float32)
+    variance = np.zeros(len(length))
+    for turn in range(TURNS):
+        signs = np.unpackbits(bits[turn], axis=1, count=d).astype(np.float32) * 2 - 1
+        turned = (queries @ rotation(d, SEED + turn)).astype(np.float32)
+        about += (turned @ signs.T) * (length / match[turn] / np.sqrt(d) / TURNS).astype(np.float32)[None, :]
+        variance += np.maximum(1 - match[turn] ** 2, 0) / match[turn] ** 2 / max(d - 1, 1) / TURNS**2
+    spread = length * np.sqrt(variance)
+    about += (queries @ centre).astype(np.float32)[:, None]
+    return about, (ERROR_WIDTH * np.linalg.norm(queries, axis=1)[:, None] * spread[None, :] + 1e-5).astype(np.float32)
 
 
 def exact(query: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -65,7 +77,8 @@ def usable(rows: DataFrame) -> DataFrame:
     x = F.col("embedding")
     odd = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     return rows.select(F.col("vec_id").cast("long"), x).where(
-        "vec_id is not null and embedding is not null" ).where(~odd & F.exists(x, lambda v: v != 0))
+        "vec_id is not null and embedding is not null"
+    ).where(~odd & F.exists(x, lambda v: v != 0))
 
 
 def blocks(rows: DataFrame, name: str, n: int) -> DataFrame:
@@ -116,8 +129,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 d = row["d"]
-                bits, length, match = encode(np.frombuffer(row["vectors"], "<f8").reshape(-1, d), centres.get(d, np.zeros(d)), rotation(d))
-                yield pa.RecordBatch.from_pylist([row | {"bits": bits.tobytes(), "scalars": np.stack([length, match]).tobytes()}], schema=indexed)
+                bits, length, match = encode(np.frombuffer(row["vectors"], "<f8").reshape(-1, d), centres.get(d, np.zeros(d)))
+                yield pa.RecordBatch.from_pylist([row | {"bits": bits.tobytes(), "scalars": np.vstack([length, match]).tobytes()}], schema=indexed)
 
     indexed = pa.schema([("block", pa.int32()), ("d", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("bits", pa.binary()), ("scalars", pa.binary())])
     coded = blocks(rows, "block", nb).mapInArrow(index, "block int, d int, ids binary, vectors binary, bits binary, scalars binary")
@@ -129,13 +142,13 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 d = row["d"]
                 ids = np.frombuffer(row["ids"], "<i8")
                 columns = np.ascontiguousarray(np.frombuffer(row["vectors"], "<f8").reshape(-1, d).T)
-                bits = np.frombuffer(row["bits"], np.uint8).reshape(len(ids), -1)
-                length, match = np.frombuffer(row["scalars"], "<f8").reshape(2, -1)
+                bits = np.frombuffer(row["bits"], np.uint8).reshape(TURNS, len(ids), -1)
+                scalars = np.frombuffer(row["scalars"], "<f8").reshape(1 + TURNS, -1)
                 q_ids = np.frombuffer(row["q_ids"], "<i8")
                 wanted = np.frombuffer(row["q_vectors"], "<f8").reshape(-1, d)
                 out: list[tuple] = []
                 for at in range(0, len(q_ids), 64):
-                    about, error = estimate(bits, length, match, wanted[at : at + 64], centres.get(d, np.zeros(d)), rotation(d))
+                    about, error = estimate(bits, scalars[0], scalars[1:], wanted[at : at + 64], centres.get(d, np.zeros(d)))
                     for q_id, query, a, e in zip(q_ids[at : at + 64], wanted[at : at + 64], about, error, strict=True):
                         a = np.where(ids == q_id, -np.inf, a)
                         first = np.argpartition(-a, min(4 * k, len(a) - 1))[: 4 * k + 1]
