@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -48,3 +49,18 @@ def chunks(texts: Iterable[bytes], most: int = 2_000_000) -> Iterator[list[bytes
         size += len(text)
     if part:
         yield part
+
+
+@contextlib.contextmanager
+def shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries that run inside go when each of them ends, not when the driver next collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
