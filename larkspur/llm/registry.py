@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, near_dedup, packed_ids, quality_rules, rotated_codes, toxicity, url_filter
+from . import byte_bpe, near_dedup, packed_ids, quality_rules, repeat_removal, rotated_codes, toxicity, url_filter
 
 QUERIES = {
+    "op1_repeat_removal": repeat_removal.op1_repeat_removal,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op5_url_filter": url_filter.op5_url_filter,
