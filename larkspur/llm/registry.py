@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, near_dedup, packed_ids, quality_rules, repeat_removal, rotated_codes, toxicity, url_filter
+from . import byte_bpe, near_dedup, packed_ids, quality_rules, repeat_removal, rotated_codes, source_mix, toxicity, url_filter
 
 QUERIES = {
     "op1_repeat_removal": repeat_removal.op1_repeat_removal,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
+    "op4_source_mix": source_mix.op4_source_mix,
     "op5_url_filter": url_filter.op5_url_filter,
     "op7_rotated_codes": rotated_codes.op7_rotated_codes,
     "op8_toxicity": toxicity.op8_toxicity,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_source_mix": source_mix.OP4_SQL,
     "op5_url_filter": url_filter.OP5_SQL,
     "op7_rotated_codes": rotated_codes.OP7_SQL,
 }
