@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, near_dedup, packed_ids, quality_rules, repeat_removal, rotated_codes, source_mix, toxicity, url_filter
+from . import byte_bpe, line_dedup, near_dedup, packed_ids, quality_rules, repeat_removal, rotated_codes, source_mix, toxicity, url_filter
 
 QUERIES = {
     "op1_repeat_removal": repeat_removal.op1_repeat_removal,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_source_mix": source_mix.op4_source_mix,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_rotated_codes": rotated_codes.op7_rotated_codes,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality_rules": quality_rules.op9_quality_rules,
