@@ -72,7 +72,10 @@ def offsets(ids: np.ndarray, ranks: str = RANKS) -> np.ndarray:
 
 def encode_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (array of int): whole texts, null as empty."""
-    schema = docs.drop("ids").schema.add("ids", ArrayType(IntegerType()))
+    kept = [c for c in docs.columns if c != "ids"]
+    docs = docs.select(*kept)
+    schema = docs.select(*kept).schema.add("ids", ArrayType(IntegerType()))
+    names = [*kept, "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,9 +84,9 @@ def encode_documents(docs: DataFrame, text: str = "text") -> DataFrame:
                 ids = [x.astype(np.int32) for x in encode([x or "" for x in part.column(text).to_pylist()])]
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 column = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in docs.drop("ids").columns), column], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), column], names=names)
 
-    return docs.drop("ids").mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def decode_documents(docs: DataFrame, ids: str = "ids") -> DataFrame:
