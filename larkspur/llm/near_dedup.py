@@ -10,7 +10,7 @@ groups.
 Equal sets are one class from the start. Candidates are taken in rounds, so that a large group is
 linked through its centre first and only documents that are still apart are compared further:
 (1) every member of a bucket with the bucket's centre, (2) each document with the likeliest
-documents outside its component, (3) all remaining candidate pairs across components.
+documents outside its component, (3) all remaining candidate pairs across components, verified where they are found.
 Buckets are cut into blocks of BLOCK members, and tasks return pairs, not buckets.
 """
 
@@ -34,7 +34,7 @@ BANDS, ROWS = 40, 6  # at similarity 0.8 a pair shares no band with probability
 REGISTERS = BANDS * ROWS
 BASE = 1.001
 LIKELY = 0.72  # three standard errors of the estimate below 0.8
-BLOCK, FIRST = 1024, 8
+BLOCK, CALL_ROWS, FIRST = 1024, 2048, 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _GAP = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
@@ -111,7 +111,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
-    """(key, id) of every band of every class."""
+    """(key, band, id) of every band of every class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,68 +121,107 @@ def band_rows(classes: DataFrame) -> DataFrame:
             for j in range(ROWS):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + regs[:, :, j])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids, BANDS))], names=["key", "id"]
+                [pa.array(key.ravel().view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(ids))), pa.array(np.repeat(ids, BANDS))],
+                names=["key", "band", "id"],
             )
 
-    return classes.select("id", "registers").mapInArrow(run, "key long, id long")
-
-
-def compare_block(t: pa.Table, mode: str) -> pa.Table:
-    """Likely pairs (x, y, similarity) of one block pair of a bucket."""
-    t = t.combine_chunks()
-    ids, labels, n, side = (t.column(c).to_numpy() for c in ("id", "label", "n", "side"))
-    regs = np.frombuffer(b"".join(t.column("registers").to_pylist()), "<u2").reshape(len(ids), REGISTERS)
-    one_block = t.column("bi")[0].as_py() == t.column("bj")[0].as_py()
-    left = np.flatnonzero(side == t.column("bi")[0].as_py())
-    right = left if one_block else np.flatnonzero(side != t.column("bi")[0].as_py())
-    order = right[np.argsort(ids[right], kind="stable")]
-    key_band = None
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    shared = np.zeros((len(left), len(order)), np.int16) if mode == "centre" else None
-    for row, i in enumerate(left):
-        r = regs[order]
-        same = (r == regs[i]).sum(axis=1)
-        if shared is not None:
-            shared[row] = same
-            continue
-        able = (same >= 0.5 * REGISTERS) & (labels[order] != labels[i]) & ((ids[order] > ids[i]) | (not one_block))
-        j = order[able]
-        if not len(j):
-            continue
-        # a pair is told by its first common band alone
-        agree = (regs[j].reshape(-1, BANDS, ROWS) == regs[i].reshape(BANDS, ROWS)).all(axis=2)
-        if key_band is None:
-            key_band = band_of(t.column("key")[0].as_py(), regs[i])
-        j, same = j[agree.argmax(axis=1) == key_band], same[able][agree.argmax(axis=1) == key_band]
-        out.append(_judged(i, j, same, regs, n, ids))
-    if shared is not None and len(order):
-        # the centre is the member with the most registers in common with all others
-        c = order[np.lexsort((ids[order], -shared.sum(axis=0, dtype=np.int64)))[0]]
+    return classes.select("id", "registers").mapInArrow(run, "key long, band int, id long")
+
+
+class Bucketed:
+    """The rows of one task call: members of many buckets, told apart by (key, bi, bj)."""
+
+    def __init__(self, t: pa.Table):
+        t = t.sort_by([("key", "ascending"), ("bi", "ascending"), ("bj", "ascending"), ("id", "ascending")]).combine_chunks()
+        self.ids, self.labels, self.n, self.side, self.bi, self.bj, self.band = (t.column(c).to_numpy() for c in ("id", "label", "n", "side", "bi", "bj", "band"))
+        key = t.column("key").to_numpy()
+        self.regs = np.frombuffer(b"".join(t.column("registers").to_pylist()), "<u2").reshape(len(key), REGISTERS)
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (self.bi[1:] != self.bi[:-1]) | (self.bj[1:] != self.bj[:-1])])
+        self.first = np.flatnonzero(new)
+        self.sizes = np.diff(np.append(self.first, len(key)))
+        self.sets = t.column("shingles") if "shingles" in t.column_names else None
+
+    def judged(self, i: np.ndarray, j: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs (i, j) of rows that are likely similar enough, and how similar."""
+        fair = (same >= 0.5 * REGISTERS) & (100 * np.minimum(self.n[i], self.n[j]) >= PERCENT * np.maximum(self.n[i], self.n[j]))
+        i, j, same = i[fair], j[fair], same[fair]
+        above = (self.regs[i] > self.regs[j]).sum(axis=1)
+        s = likely_similarity(same, above, REGISTERS - same - above, self.n[i].astype(float), self.n[j].astype(float))
+        fit = s >= LIKELY
+        return i[fit], j[fit], s[fit]
+
+    def told_here(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Of pairs of rows, those whose first common band is this bucket's: a pair is told once."""
+        agree = (self.regs[i].reshape(-1, BANDS, ROWS) == self.regs[j].reshape(-1, BANDS, ROWS)).all(axis=2)
+        return agree.argmax(axis=1) == self.band[i]
+
+    def twos(self, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All buckets of two members at once."""
+        i = self.first[self.sizes == 2]
+        j = i + 1
+        if across:
+            open_pair = self.labels[i] != self.labels[j]
+            i, j = i[open_pair], j[open_pair]
+        told = self.told_here(i, j)
+        i, j = i[told], j[told]
+        return self.judged(i, j, (self.regs[i] == self.regs[j]).sum(axis=1))
+
+    def centre(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each member of the first block with the member of the second that agrees most with all of it."""
+        left, right = self.sides(rows)
+        r = self.regs[left]
+        shared = np.array([int((r == self.regs[j]).sum()) for j in right])
+        c = right[np.lexsort((self.ids[right], -shared))[0]]
         j = left[left != c]
-        out.append(_judged(c, j, (regs[j] == regs[c]).sum(axis=1), regs, n, ids))
-    x, y, s = (np.concatenate([o[k] for o in out]) if out else np.zeros(0) for k in range(3))
-    return pa.table({"x": pa.array(x.astype(np.int64)), "y": pa.array(y.astype(np.int64)), "s": pa.array(s.astype(np.float64))})
-
-
-def band_of(key: int, regs: np.ndarray) -> int:
-    for band in range(BANDS):
-        k = np.array([band + 1], np.uint64)
-        for x in regs[band * ROWS : (band + 1) * ROWS].astype(np.uint64):
-            k = mix(k * np.uint64(0x9E3779B97F4A7C15) + x)
-        if int(k.view(np.int64)[0]) == key:
-            return band
-    return -1
-
-
-def _judged(i: int, j: np.ndarray, same: np.ndarray, regs: np.ndarray, n: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    above = (regs[i][None, :] > regs[j]).sum(axis=1)
-    s = likely_similarity(same, above, REGISTERS - same - above, np.full(len(j), n[i], float), n[j].astype(float))
-    fit = s >= LIKELY
-    a, b = np.full(fit.sum(), ids[i]), ids[j][fit]
-    return np.minimum(a, b), np.maximum(a, b), s[fit]
-
-
-def candidates(members: DataFrame, classes: DataFrame, labels: DataFrame | None, mode: str) -> DataFrame:
+        return self.judged(np.full(len(j), c), j, (self.regs[j] == self.regs[c]).sum(axis=1))
+
+    def sides(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        one = self.bi[rows[0]] == self.bj[rows[0]]
+        left = rows[self.side[rows] == self.bi[rows]]
+        return left, left if one else rows[self.side[rows] != self.bi[rows]]
+
+    def across(self, rows: np.ndarray, best: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Likely pairs across components; with ``best`` only so many of each member."""
+        left, right = self.sides(rows)
+        found = []
+        for i in left:
+            j = right[(self.labels[right] != self.labels[i]) & ((self.ids[right] > self.ids[i]) | (left is not right) | (best is not None))]
+            x = self.judged(np.full(len(j), i), j, (self.regs[j] == self.regs[i]).sum(axis=1))
+            told = self.told_here(x[0], x[1])
+            x = tuple(v[told] for v in x)
+            if best is not None and len(x[2]) > best:
+                x = tuple(v[np.argsort(-x[2], kind="stable")[:best]] for v in x)
+            found.append(x)
+        return tuple(np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+    def similar(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.array([enough(np.frombuffer(self.sets[int(a)].as_py(), np.uint64), np.frombuffer(self.sets[int(b)].as_py(), np.uint64)) for a, b in zip(i, j, strict=True)], bool)
+
+
+def enough(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two sorted sets are similar enough, exactly."""
+    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+    common = int((q[at] == p).sum())
+    return 100 * common >= PERCENT * (len(p) + len(q) - common)
+
+
+def compare(t: pa.Table, mode: str) -> pa.Table:
+    """Pairs (x < y, s) of the buckets in ``t``; mode "rest" verifies them at once."""
+    rows = Bucketed(t)
+    found = [rows.twos(mode != "centre")]
+    for k in np.flatnonzero(rows.sizes > 2):
+        members = np.arange(rows.first[k], rows.first[k] + rows.sizes[k])
+        found.append(rows.centre(members) if mode == "centre" else rows.across(members, FIRST if mode == "first" else None))
+    i, j, s = (np.concatenate(v) for v in zip(*found, strict=True))
+    i, j = i.astype(np.int64), j.astype(np.int64)
+    if mode == "rest":
+        keep = rows.similar(i, j)
+        i, j, s = i[keep], j[keep], s[keep]
+    a, b = rows.ids[i], rows.ids[j]
+    return pa.table({"x": pa.array(np.minimum(a, b)), "y": pa.array(np.maximum(a, b)), "s": pa.array(s.astype(np.float64))})
+
+
+def candidates(members: DataFrame, classes: DataFrame, labels: DataFrame | None, mode: str, sets: DataFrame) -> DataFrame:
     """Likely pairs (x < y, s) within buckets; after the first round only across components."""
     rows = members
     if labels is None:
@@ -192,15 +231,16 @@ def candidates(members: DataFrame, classes: DataFrame, labels: DataFrame | None,
         open_keys = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
         rows = rows.join(open_keys, "key")
     nb = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = (
+    rows = stored(
         rows.withColumn("side", F.pmod(F.xxhash64("id"), nb).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), nb - 1)))
-        .withColumn("bi", F.least("side", "other"))
-        .withColumn("bj", F.greatest("side", "other"))
-        .join(classes.select("id", "n", "registers"), "id")
-        .select("key", "bi", "bj", "side", "id", "label", "n", "registers")
+        .select("key", "band", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "id", "label")
     )
-    found = rows.groupBy("key", "bi", "bj").applyInArrow(lambda t: compare_block(t, mode), "x long, y long, s double")
+    calls = max(1, rows.count() // CALL_ROWS)
+    rows = rows.withColumn("call", F.pmod(F.xxhash64("key", "bi", "bj"), F.lit(calls))).join(classes.select("id", "n", "registers"), "id")
+    if mode == "rest":
+        rows = rows.join(sets, "id")
+    found = rows.groupBy("call").applyInArrow(lambda t: compare(t, mode), "x long, y long, s double")
     return found.groupBy("x", "y").agg(F.max("s").alias("s"))
 
 
@@ -224,14 +264,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = None
         labels = None
         for mode in ("centre", "first", "rest"):
-            pairs = candidates(members, classes, labels, mode)
-            if mode != "rest":
+            pairs = candidates(members, classes, labels, mode, sets)
+            if mode == "rest":
+                new = pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))
+            else:
                 best = W.partitionBy("x").orderBy(F.desc("s"), "y")
                 least = 2 if mode == "centre" else FIRST
                 pairs = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "s"))
                 pairs = pairs.withColumn("k", F.row_number().over(best)).where(F.col("k") <= least)
-                pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-            new = verified(pairs, sets)
+                new = verified(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), sets)
             links = stored(new if links is None else links.unionByName(new))
             labels = components(links)
         names = sketched.join(classes.select("set_a", "set_b", "id"), ["set_a", "set_b"], "left")
@@ -262,13 +303,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for a, b in zip(batch.column("sx"), batch.column("sy"), strict=True):
-                p, q = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                common = int((q[at] == p).sum())
-                good.append(100 * common >= PERCENT * (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("x").filter(pa.array(good, pa.bool_())), batch.column("y").filter(pa.array(good, pa.bool_()))], names=["a", "b"])
+            pairs = zip(batch.column("sx"), batch.column("sy"), strict=True)
+            good = pa.array([enough(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)) for a, b in pairs], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("x").filter(good), batch.column("y").filter(good)], names=["a", "b"])
 
     return pairs.select("x", "y").join(x, "x").join(y, "y").select("x", "y", "sx", "sy").mapInArrow(run, "a long, b long")
 
