@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from larkspur.plans import data, ranking
+from larkspur.plans import confidence, data, ranking, text
 
-MODULES = [data, ranking]
+MODULES = [data, ranking, confidence, text]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
