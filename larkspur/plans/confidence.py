@@ -236,10 +236,10 @@ def oracle_rank(spark, sf_dir):
     return policy.oracle_rank(_panel(spark, sf_dir).withColumn("in_panel", F.col("place") <= 10))
 
 
-def _evidence(spark, sf_dir) -> DataFrame:
+def _evidence(spark, sf_dir, digits=4) -> DataFrame:
     items = views.items(spark, sf_dir)
     named = test_candidates(spark, sf_dir).join(buckets(spark, sf_dir).select("item_id", "bucket"), "item_id").join(items.select("item_id", "title"), "item_id")
-    return evidence.evidence(evidence.repetition(named, items))
+    return evidence.evidence(evidence.repetition(named, items), digits)
 
 
 _TOK = "list_distinct(list_filter(string_split_regex(regexp_replace(lower(title), '[|/]', ' ', 'g'), '\\s+'), lambda x: length(x) > 2))"
@@ -248,14 +248,13 @@ m AS (SELECT x.example_id, x.item_id, avg(CASE WHEN a.c = z.c THEN 0.55::DOUBLE
 e0 AS (SELECT x.example_id, x.item_id, x.item_id = t.target AS pos, bucket, CASE WHEN list_contains(t.history, x.item_id) THEN 1 ELSE least(1, coalesce(m, 0)) END AS hr, CASE bucket WHEN 'head' THEN 0.7::DOUBLE WHEN 'mid' THEN 0.35::DOUBLE ELSE 0.12::DOUBLE END AS pr, 0.05::DOUBLE AS g
   FROM cand x JOIN test t USING (example_id) JOIN b ON b.item_id = x.item_id LEFT JOIN m ON m.example_id = x.example_id AND m.item_id = x.item_id),
 e1 AS (SELECT *, CASE WHEN pos THEN least(1, greatest(0, 0.66::DOUBLE + 0.2::DOUBLE * (1 - g) + 0.14::DOUBLE * hr - 0.06::DOUBLE * pr)) ELSE least(0.75, greatest(0, 0.08::DOUBLE + 0.24::DOUBLE * hr + 0.18::DOUBLE * pr + 0.05::DOUBLE * (1 - g))) END AS pf FROM e0),
-ev AS (SELECT example_id, item_id, pos, bucket, g, pr, round_even(hr, 4) AS hr, round_even(pf, 4) AS preference, round_even(CASE WHEN pos THEN least(0.95::DOUBLE, greatest(0.5, pf - 0.08::DOUBLE * g - CASE WHEN bucket = 'tail' THEN 0.04::DOUBLE ELSE 0 END)) ELSE least(0.7::DOUBLE, greatest(0.03::DOUBLE, pf)) END, 4) AS confidence,
+ev AS (SELECT example_id, item_id, pos, bucket, g, pr, hr, CAST(pf AS DOUBLE) AS preference, CAST(CASE WHEN pos THEN least(0.95::DOUBLE, greatest(0.5, pf - 0.08::DOUBLE * g - CASE WHEN bucket = 'tail' THEN 0.04::DOUBLE ELSE 0 END)) ELSE least(0.7::DOUBLE, greatest(0.03::DOUBLE, pf)) END AS DOUBLE) AS confidence,
   CASE WHEN pos THEN 'positive_next_item' WHEN hr >= 0.45::DOUBLE THEN 'history_echo_probe' WHEN bucket = 'head' THEN 'head_bias_probe' WHEN bucket = 'tail' THEN 'tail_underconfidence_probe' ELSE 'mid_popularity_probe' END AS role FROM e1)"""
 
 
-@query("candidate_evidence", f"{EVID} SELECT example_id, item_id, role, round(preference + 1e-7::DOUBLE, 2) AS preference, round(confidence + 1e-7::DOUBLE, 2) AS confidence FROM ev")
+@query("candidate_evidence", f"{EVID} SELECT example_id, item_id, role, preference, confidence FROM ev")
 def candidate_evidence(spark, sf_dir):
-    rows = _evidence(spark, sf_dir)
-    return rows.select("example_id", "item_id", "role", *(F.round(F.col(c) + 1e-7, 2).alias(c) for c in ("preference", "confidence")))
+    return _evidence(spark, sf_dir, None).select("example_id", "item_id", "role", "preference", "confidence")
 
 
 @query("policy_targets")
