@@ -37,7 +37,7 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def chunks(texts: Iterable[bytes], most: int = 2_000_000) -> Iterator[list[bytes]]:
+def chunks(texts: Iterable[bytes], most: int = 1_000_000) -> Iterator[list[bytes]]:
     """Runs of whole texts of about ``most`` bytes together, so that arrays stay small."""
     part: list[bytes] = []
     size = 0

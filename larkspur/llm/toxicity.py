@@ -33,7 +33,7 @@ LANDMARKS, ROUNDS, PER_TEXT, TOP, LEAST = 256, 3, 4, 3, -3.0
 #: Bounds of the training sample: labelled texts of each kind, distinct words of a text.
 TOXIC_TEXTS, CLEAN_TEXTS, TEXT_WORDS = 800, 1600, 1000
 THRESHOLD = 0.7
-PIECE, CACHE_WORDS = 24, 500_000
+PIECE, CACHE_WORDS = 24, 200_000
 EDGES = ".,;:!?\"'()[]{}<>*_~-|/\\…«»“”"
 _GAPS = [(a, b, c) for c in range(3, SPAN) for b in range(2, c) for a in range(1, b)]
 
