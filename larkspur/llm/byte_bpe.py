@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import table
+from .common import lean, table
 from .piecewise import byte_level
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -86,7 +86,7 @@ def encode_documents(docs: DataFrame, text: str = "text") -> DataFrame:
                 column = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), column], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def decode_documents(docs: DataFrame, ids: str = "ids") -> DataFrame:
@@ -100,7 +100,7 @@ def decode_documents(docs: DataFrame, ids: str = "ids") -> DataFrame:
             out = [decode(np.asarray(x.values) if x.is_valid else np.zeros(0, np.int64)) for x in rows]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.binary())], names=schema.names)
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(lean(run), schema)
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def round_trip(docs: DataFrame) -> DataFrame:
                 )
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), schema)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

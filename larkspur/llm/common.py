@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,3 +64,28 @@ def shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(key)
         else:
             spark.conf.set(key, before)
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` over Arrow batches, after which the Python worker, which is kept for later tasks, returns free memory."""
+
+    def held(batches: Iterator) -> Iterator:
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return held
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts are long: batches of fewer rows keep Python workers and Arrow buffers small in this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

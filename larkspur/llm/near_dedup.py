@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, shuffle_cleanup, stored, table
+from .common import chunks, lean, shuffle_cleanup, stored, table
 from .components import components
 from .hashing import Ranges, mix
 
@@ -107,7 +107,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 )
                 at += len(part)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, registers binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n_shingles long, set_a long, set_b long, registers binary")
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def band_rows(classes: DataFrame) -> DataFrame:
                 names=["key", "band", "id"],
             )
 
-    return classes.select("id", "registers").mapInArrow(run, "key long, band int, id long")
+    return classes.select("id", "registers").mapInArrow(lean(run), "key long, band int, id long")
 
 
 class Bucketed:
@@ -293,7 +293,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 )
                 at += len(part)
 
-    return texts.mapInArrow(run, "id long, shingles binary")
+    return texts.mapInArrow(lean(run), "id long, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -307,7 +307,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             good = pa.array([enough(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)) for a, b in pairs], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("x").filter(good), batch.column("y").filter(good)], names=["a", "b"])
 
-    return pairs.select("x", "y").join(x, "x").join(y, "y").select("x", "y", "sx", "sy").mapInArrow(run, "a long, b long")
+    return pairs.select("x", "y").join(x, "x").join(y, "y").select("x", "y", "sx", "sy").mapInArrow(lean(run), "a long, b long")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, table
+from .common import lean, shared_dir, stored, table
 from .piecewise import word_end
 
 MODEL, VOCABULARY, END_ID = "word_bpe_49k.json", 49_408, 2
@@ -165,7 +165,7 @@ def write_packed(docs: DataFrame, folder: str) -> DataFrame:
             schema=pa.schema([("shard", pa.string()), ("part", pa.int32()), ("piece", pa.int32()), ("ids", pa.int64())]),
         )
 
-    shards = stored(ordered.mapInArrow(run, "shard string, part int, piece int, ids long"))
+    shards = stored(ordered.mapInArrow(lean(run), "shard string, part int, piece int, ids long"))
     # one row for each shard of millions of ids, so this order stays small
     before = F.coalesce(F.sum("ids").over(W.orderBy("part", "piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return shards.withColumn("before", before)
@@ -195,7 +195,7 @@ def read_packed(spark: SparkSession, folder: str, shards: DataFrame) -> DataFram
         rows = spark.createDataFrame([], schema)
     else:
         files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bits").load(folder)
-        rows = files.select("path", "content").mapInArrow(run, schema)
+        rows = files.select("path", "content").mapInArrow(lean(run), schema)
     return rows.join(shards.select("shard", "before"), "shard").select(
         "doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32"
     )

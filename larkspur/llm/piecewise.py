@@ -18,7 +18,7 @@ import numpy as np
 import public_tokenizers
 
 LATIN_END = "ɐ"
-CACHE_PIECES, CACHE_CHARS = 400_000, 64  # entries kept; longer pieces aren't kept
+CACHE_PIECES, CACHE_CHARS = 250_000, 64  # entries kept; longer pieces aren't kept
 
 
 def latin(kind: str) -> str:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, shuffle_cleanup, stored, table
+from .common import chunks, lean, shuffle_cleanup, stored, table
 from .hashing import Ranges, mix
 
 LENGTH, GRAM = 400, 128
@@ -126,7 +126,7 @@ def anchors(rows: DataFrame, length: int) -> DataFrame:
                     )
                 at += len(part)
 
-    return rows.mapInArrow(run, "h long, c long, doc_id long, rid long, first long, n int")
+    return rows.mapInArrow(lean(run), "h long, c long, doc_id long, rid long, first long, n int")
 
 
 def repeated_windows(rows: DataFrame, length: int = LENGTH, keep: str = "none") -> DataFrame:
@@ -214,7 +214,7 @@ def windows_of(rows: DataFrame, open_runs: DataFrame, length: int) -> DataFrame:
                     )
 
     joined = rows.join(lists, "rid").select("doc_id", "rid", "text", "runs")
-    return joined.mapInArrow(run, "h long, doc_id long, rid long, first long, n int, bytes binary")
+    return joined.mapInArrow(lean(run), "h long, doc_id long, rid long, first long, n int, bytes binary")
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", with_bytes: bool = False) -> DataFrame:
@@ -251,7 +251,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", with_
     with shuffle_cleanup(docs.sparkSession):
         found = stored(repeated_windows(rows, length, keep))
     spans = found.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return rows.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+    return rows.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(lean(run), schema)
 
 
 def op1_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from .common import table
+from .common import lean, table
 
 SPAN, DECAY = 7, 0.7
 CODES = 1 << 20  # subsequences are hashed to so many codes
@@ -292,7 +292,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, list[
             words = [[w[:200] for w in ws] for ws in words]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(words, pa.list_(pa.string()))], names=["toxic", "words"])
 
-    rows = texts.mapInArrow(run, texts.select("toxic").schema.add("words", ArrayType(StringType()))).collect()
+    rows = texts.mapInArrow(lean(run), texts.select("toxic").schema.add("words", ArrayType(StringType()))).collect()
     return sorted((int(r["toxic"]), list(r["words"])) for r in rows)
 
 
@@ -336,7 +336,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
                     names=schema.names,
                 )
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(lean(run), schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
