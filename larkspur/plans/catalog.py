@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.plans import confidence, data, ranking, text
+from larkspur.plans import confidence, data, enriched, ranking, text
 
-MODULES = [data, ranking, confidence, text]
+MODULES = [data, ranking, confidence, text, enriched]
 DIGITS = 11
 #: The fractional columns of each query that has SQL.
 FRACTIONS = {
@@ -30,6 +30,7 @@ FRACTIONS = {
     "histogram_calibration": ("calibrated",),
     "latency_percentiles": ("total", "p50", "p95"),
     "long_tail": ("hit_rate", "bucket_coverage"),
+    "metric_rows": ("value",),
     "metrics_by_slice": ("recall", "ndcg"),
     "novelty": ("self_information", "popularity_rank"),
     "override_outcomes": ("harmful_rate",),
@@ -51,6 +52,7 @@ FRACTIONS = {
     "seed_aggregate": ("mean", "std", "ci95"),
     "tail_gap": ("tail_gap",),
     "triage": ("weight",),
+    "threshold_grid": ("ndcg", "harm_rate"),
     "user_min_count": ("ts",),
     "user_sequences": ("ratings",),
     "validity": ("valid", "hallucinated"),
