@@ -18,7 +18,7 @@ import numpy as np
 import public_tokenizers
 
 LATIN_END = "ɐ"
-CACHE_PIECES, CACHE_CHARS = 250_000, 64  # entries kept; longer pieces aren't kept
+CACHE_CHARS = 64  # longer pieces aren't kept
 
 
 def latin(kind: str) -> str:
@@ -47,13 +47,14 @@ def library(model: str):
 
 
 class PieceEncoder:
-    def __init__(self, model: str, pattern: re.Pattern, kept_gap: bool, fold: Callable[[str], str] = lambda x: x, odd: str = ""):
+    def __init__(self, model: str, pattern: re.Pattern, kept_gap: bool, fold: Callable[[str], str] = lambda x: x, odd: str = "", most: int = 250_000):
         """``fold``: the tokenizer's normalisation on Latin texts without the characters ``odd``.
 
-        ``kept_gap``: a line end between two pieces is a piece of its own, else it vanishes.
+        ``kept_gap``: a line end between two pieces is a piece of its own, else it vanishes. ``most``: pieces kept.
         """
         self.model, self.split, self.fold, self.odd = model, pattern.findall, fold, odd
         self.step = 2 if kept_gap else 1
+        self.most = most
         self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -87,7 +88,7 @@ class PieceEncoder:
             missing = {x for x, y in zip(pieces, got, strict=True) if y is None}
             fresh = self.pieces(list(missing))
             got = [fresh[x] if y is None else y for x, y in zip(pieces, got, strict=True)]
-            if len(self.known) + len(fresh) > CACHE_PIECES:
+            if len(self.known) + len(fresh) > self.most:
                 self.known.clear()
             self.known.update((x, y) for x, y in fresh.items() if len(x) <= CACHE_CHARS)
         return b"".join(got)
@@ -107,4 +108,4 @@ def byte_level(model: str = "byte_bpe_50k.json") -> PieceEncoder:
 
 @lru_cache(maxsize=1)
 def word_end(model: str = "word_bpe_49k.json") -> PieceEncoder:
-    return PieceEncoder(model, word_end_pattern(), False, str.lower, odd="İ")
+    return PieceEncoder(model, word_end_pattern(), False, str.lower, odd="İ", most=1_000_000)
