@@ -84,6 +84,73 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs.where("false")).count() == 0
 
 
+def line_brute(texts):
+    """How many lines each document loses: components of all pairs of lines at Jaccard .8, the first line stays."""
+    lines = [(d, p, x.strip(" ").lower()) for d, t in texts.items() for p, x in enumerate(t.split("\n"))]
+    lines = [(d, p, x, {x[i : i + 5] for i in range(len(x) - 4)}) for d, p, x in sorted(lines) if len(x) >= 8]
+    label = list(range(len(lines)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, (_, _, x, a) in enumerate(lines):
+        for j, (_, _, y, b) in enumerate(lines[:i]):
+            if x == y or 100 * len(a & b) >= 80 * len(a | b):
+                r, q = root(i), root(j)
+                label[max(r, q)] = min(r, q)
+    dropped = {d: 0 for d in texts}
+    for i, (d, *_) in enumerate(lines):
+        dropped[d] += root(i) != i
+    return dropped
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        k = rng.randrange(len(words))
+        at = rng.randrange(len(words[k]))
+        words[k] = words[k][:at] + rng.choice("abcdefghijklmnopqrstuvwxyz") + words[k][at + 1 :]
+    return " ".join(words)
+
+
+def some_words(rng, n):
+    return ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("words", [16, 40])
+def test_groups_of_differing_near_copies(spark, words):
+    import random
+
+    rng = random.Random(words)
+    lines = [edited(rng, base, rng.randint(0, words // 8)) for base in (some_words(rng, words) for _ in range(12)) for _ in range(30)]
+    rng.shuffle(lines)
+    texts = {i: "\n".join(lines[3 * i : 3 * i + 3]) for i in range(len(lines) // 3)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    block = line_dedup.BLOCK
+    try:
+        line_dedup.BLOCK = 4
+        assert {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(docs).collect()} == line_brute(texts)
+    finally:
+        line_dedup.BLOCK = block
+
+
+def test_short_near_copies(spark):
+    import random
+
+    rng = random.Random(8)
+    lines = ["sign up today and save on your next online order with us", "sign up todey and save on your next online order with us"]
+    lines += ["aaaaaaaa", "aaaaaaaaaa", "abcdefgh", "abcdefghi", "abcdefghij", "ab ab ab ab", "ab ab ab ab ab"]
+    for n in (2, 3, 4, 6, 8, 10):
+        for _ in range(40):
+            base = some_words(rng, n)
+            lines += [" ".join(base), edited(rng, base, 1), " ".join(base) + rng.choice(["", ".", "s", " x"])]
+    texts = dict(enumerate(lines))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(docs).collect()} == line_brute(texts)
+
+
 @needs_tables
 def test_sql_checks(spark):
     import duckdb
