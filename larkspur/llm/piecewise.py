@@ -19,6 +19,7 @@ import public_tokenizers
 
 LATIN_END = "ɐ"
 CACHE_CHARS = 64  # longer pieces aren't kept
+SPACE = r"\t-\r \x85\xa0"  # the tokenizer's spaces below U+0250; Python's \s also has U+001C to U+001F
 
 
 def latin(kind: str) -> str:
@@ -28,12 +29,12 @@ def latin(kind: str) -> str:
 
 def byte_level_pattern() -> re.Pattern:
     letter, number = latin("L"), latin("N")
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^\s{letter}{number}]+|\s+(?!\S)|\s+")
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{SPACE}{letter}{number}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
 def word_end_pattern() -> re.Pattern:
     letter, number = latin("L"), latin("N")
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^\s{letter}{number}]+")
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{SPACE}{letter}{number}]+")
 
 
 @lru_cache(maxsize=4)

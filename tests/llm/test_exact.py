@@ -130,6 +130,13 @@ def test_pieces_equal_whole_texts(encoder):
     assert [encoder()(t) for t in texts] == encoder().whole(texts)
 
 
+@pytest.mark.parametrize("encoder", [piecewise.byte_level, piecewise.word_end])
+def test_pieces_with_separator_characters(encoder):
+    rng = random.Random(3)
+    texts = ["hello\x1cworld", *("".join(rng.choice("ab '1#\x1c\x1d\x1e\x1f\n\t\x0b\x85\xa0é") for _ in range(rng.randint(0, 30))) for _ in range(3000))]
+    assert [encoder()(t) for t in texts] == encoder().whole(texts)
+
+
 def test_packed_ids(spark):
     rows = awkward()
     folder = shared_dir(spark)
