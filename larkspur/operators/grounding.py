@@ -70,34 +70,41 @@ def blocked(titles: DataFrame, catalog: DataFrame, k: int = 50) -> DataFrame:
     return weights.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def ground_fuzzy(titles: DataFrame, catalog: DataFrame, threshold: float = 0.86, margin: float = 0.03) -> DataFrame:
-    """title_id, item_id, status, score, ambiguity by matching-block ratio over blocked candidates.
+def ground_fuzzy(titles: DataFrame, catalog: DataFrame, threshold: float = 0.86, margin: float = 0.03, most: int = 2000, k: int = 1500) -> DataFrame:
+    """title_id, item_id, status, score, ambiguity by matching-block ratio.
 
-    More than one exact or normalised match is ambiguous; a fuzzy best must beat the second by ``margin``.
+    More than one exact or normalised match in the catalog is ambiguous; a fuzzy best must beat the second by ``margin``. Titles are
+    compared with the whole catalog, with more than ``most`` items with the ``k`` best blocked ones.
     """
     names = catalog.select("item_id", F.col("title").alias("other"))
-    pairs = blocked(titles, catalog).join(titles, "title_id").join(names, "item_id")
-    pairs = pairs.select("title_id", "item_id", T.normalize_title(F.col("title")).alias("a"), T.normalize_title(F.col("other")).alias("b"), (F.lower("title") == F.lower("other")).alias("same"))
+    if catalog.limit(most + 1).count() <= most:
+        pairs = titles.crossJoin(names)
+    else:
+        pairs = blocked(titles, catalog, k).select("title_id", "item_id").join(titles, "title_id").join(names, "item_id")
+    pairs = pairs.select("title_id", "item_id", T.normalize_title(F.col("title")).alias("a"), T.normalize_title(F.col("other")).alias("b"))
+    exact = catalog.groupBy(F.lower("title").alias("k")).agg(F.count("*").alias("exact"), F.min("item_id").alias("exact_id"))
+    flat = catalog.groupBy(T.normalize_title(F.col("title")).alias("f")).agg(F.count("*").alias("flat"), F.min("item_id").alias("flat_id")).where("f != ''")
+    known = titles.select("title_id", F.lower("title").alias("k"), T.normalize_title(F.col("title")).alias("f")).join(exact, "k", "left").join(flat, "f", "left").drop("k", "f")
 
     def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ratio = [difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(pdf["a"], pdf["b"], strict=True)]
-            yield pdf.assign(ratio=ratio)[["title_id", "item_id", "same", "ratio"]]
+            yield pdf.assign(ratio=ratio)[["title_id", "item_id", "ratio"]]
 
-    scored = pairs.mapInPandas(ratios, "title_id string, item_id string, same boolean, ratio double")
+    scored = pairs.mapInPandas(ratios, "title_id string, item_id string, ratio double")
     order = W.partitionBy("title_id").orderBy(F.desc("ratio"), "item_id")
     ranked = scored.withColumn("p", F.row_number().over(order))
     per = ranked.groupBy("title_id").agg(
-        F.count_if("same").alias("exact"), F.count_if(F.col("ratio") == 1.0).alias("flat"), F.min(F.when(F.col("same"), F.col("item_id"))).alias("exact_id"),
         F.max(F.when(F.col("p") == 1, F.col("item_id"))).alias("best"), F.max(F.when(F.col("p") == 1, F.col("ratio"))).alias("top"), F.max(F.when(F.col("p") == 2, F.col("ratio"))).alias("second"),
     )
+    per = known.join(per, "title_id", "left")
     lead = F.col("top") - F.coalesce("second", F.lit(0.0))
     status = (
         F.when(F.col("exact") == 1, "exact").when(F.col("exact") > 1, "ambiguous").when(F.col("flat") == 1, "normalized_exact").when(F.col("flat") > 1, "ambiguous")
         .when((F.col("top") >= threshold) & (lead > margin), "fuzzy").when(F.col("top") >= threshold, "ambiguous").otherwise("ungrounded")
     )
     per = per.withColumn("status", status)
-    item = F.when(F.col("status") == "exact", F.col("exact_id")).when(F.col("status").isin("normalized_exact", "fuzzy"), F.col("best"))
+    item = F.when(F.col("status") == "exact", F.col("exact_id")).when(F.col("status")== "normalized_exact", F.col("flat_id")).when(F.col("status") == "fuzzy", F.col("best"))
     score = F.when(F.col("status") == "exact", 1.0).when(F.col("status") == "normalized_exact", 0.98).otherwise(F.col("top"))
     found = per.select("title_id", item.alias("item_id"), "status", score.alias("score"), F.when(F.col("second").isNull(), 0.0).otherwise(1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), lead))).alias("ambiguity"))
     return titles.select("title_id").join(found, "title_id", "left").select("title_id", "item_id", F.coalesce("status", F.lit("ungrounded")).alias("status"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("ambiguity", F.lit(0.0)).alias("ambiguity"))
