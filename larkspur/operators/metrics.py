@@ -6,6 +6,7 @@ Prediction rows: example_id, user_id, target, candidates, predicted (best first)
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -102,7 +103,22 @@ def over_seeds(rows: DataFrame, groups: list[str], value: str = "value") -> Data
     return out.withColumn("ci95", 1.96 * F.col("std") / F.sqrt("seeds"))
 
 
-def nearest_rank(value: str, q: float) -> Column:
-    """The sorted value at position (n - 1) q, rounded half to even."""
-    values = F.sort_array(F.collect_list(value))
-    return F.element_at(values, (F.bround((F.size(values) - 1) * F.lit(q)) + 1).cast("int"))
+def nearest_ranks(rows: DataFrame, group: str, value: str, quantiles: dict[str, float], parts: int = 200) -> DataFrame:
+    """``group`` and, for each name of ``quantiles``, the sorted value at position (n - 1) q, rounded half to even; nulls don't count.
+
+    Values are counted first. Approximate quantiles cut a group into about ``parts`` ranges; counts before each range are cumulated, and only the
+    range that holds the position is ordered, so neither an array nor a window holds a group. The result is exact whatever the cuts are.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    cuts = counts.groupBy(group).agg(F.percentile_approx("v", [k / parts for k in range(1, parts)], 10_000).alias("cuts"))
+    counts = counts.join(cuts, group).select(group, "v", "c", F.size(F.filter("cuts", lambda x: x < F.col("v"))).alias("part"))
+    sizes = counts.groupBy(group, "part").agg(F.sum("c").alias("size"))
+    whole = W.partitionBy(group)
+    upto = F.sum("size").over(whole.orderBy("part"))
+    sizes = sizes.select(group, "part", (upto - F.col("size")).alias("before"), upto.alias("upto"), F.sum("size").over(whole).alias("n"))
+    wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.bround((F.col("n") - 1) * F.lit(q)).cast("long").alias("at")) for name, q in quantiles.items())))
+    wanted = sizes.select("*", wanted.alias("x")).where((F.col("x.at") >= F.col("before")) & (F.col("x.at") < F.col("upto"))).select(group, "part", "before", "x.name", "x.at")
+    inside = counts.join(wanted, [group, "part"])
+    passed = F.col("before") + F.sum("c").over(W.partitionBy(group, "name").orderBy("v"))
+    found = inside.withColumn("passed", passed).where(F.col("passed") > F.col("at"))
+    return found.groupBy(group).agg(*(F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in quantiles))

@@ -188,7 +188,8 @@ def seed_aggregate(spark, sf_dir):
 @query("latency_percentiles", """SELECT event_type, count(*) AS n, sum(value) AS total, list_sort(list(value))[CAST(round_even((count(*) - 1) * 0.5::DOUBLE, 0) AS BIGINT) + 1] AS p50, list_sort(list(value))[CAST(round_even((count(*) - 1) * 0.95::DOUBLE, 0) AS BIGINT) + 1] AS p95 FROM events GROUP BY event_type""")
 def latency_percentiles(spark, sf_dir):
     e = views.read(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), metrics.nearest_rank("value", 0.5).alias("p50"), metrics.nearest_rank("value", 0.95).alias("p95"))
+    ranks = metrics.nearest_ranks(e, "event_type", "value", {"p50": 0.5, "p95": 0.95})
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).join(ranks, "event_type", "left").select("event_type", "n", "total", "p50", "p95")
 
 
 @query("mf_als")

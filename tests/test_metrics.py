@@ -67,3 +67,18 @@ def test_rates_are_null_without_rows(spark):
     r = one(calibration.threshold_rates(confidences(spark, [0.9, 0.4, 0.8, 0.2], [1, 1, 0, 0]), 0.5, 0.7))
     assert (r.cbu, r.wbc) == (0.5, 0.5)
     assert one(calibration.threshold_rates(confidences(spark, [0.9], [1]), 0.5, 0.7)).wbc is None
+
+
+def test_nearest_ranks_of_large_groups(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [("a", float(rng.randrange(50))) for _ in range(3000)] + [("b", rng.random()) for _ in range(3000)] + [("c", 1.0), ("c", 2.0), ("d", 7.0), ("d", None), ("e", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    found = metrics.nearest_ranks(df, "g", "v", {"p50": 0.5, "p95": 0.95}, parts=7)
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for g in "abcd":
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        want[g] = tuple(v[round((len(v) - 1) * q)] for q in (0.5, 0.95))
+    assert {r.g: (r.p50, r.p95) for r in found.collect()} == want
