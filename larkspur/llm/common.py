@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters that separate words: the space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,7 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one the cluster shares (spark.checkpoint.dir)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:  # tests and single-machine sessions only
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir isn't set; it must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
@@ -37,6 +40,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def if_small(df: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """``df`` (a few numbers in each row, cheap to count), to be broadcast only if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def chunks(texts: Iterable[bytes], most: int = 1_000_000) -> Iterator[list[bytes]]:
     """Runs of whole texts of about ``most`` bytes together, so that arrays stay small."""
     part: list[bytes] = []
