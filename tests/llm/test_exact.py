@@ -54,6 +54,30 @@ def test_repeats(spark):
         assert got[i] == (len(b), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
 
 
+@pytest.mark.parametrize("letters", ["ab", "abc", "a", "abcdefghij"])
+def test_longest_previous_factors(letters):
+    rng = random.Random(len(letters))
+    for n in (1, 2, 7, 60, 700):
+        text = "".join(rng.choice(letters) for _ in range(n)) + "#"
+        codes = np.frombuffer(text.encode(), np.uint8).astype(np.uint16) + 1
+        order, levels = repeat_removal.suffix_order(codes)
+        if n < 100 or letters != "a":  # beyond DEPTH equal prefixes stay in order of position
+            assert order.tolist() == sorted(range(n + 1), key=lambda i: text[i:])
+        left = np.arange(n + 1, 0, -1)
+        got = repeat_removal.longest_previous(order, levels, codes, left, np.arange(n + 1))
+        for i in range(n + 1):
+            most = max((next((k for k in range(n + 1 - i) if text[i + k] != text[j + k]), n + 1 - i) for j in range(i)), default=0)
+            assert min(got[i], 400) == min(most, 400)
+
+
+def test_smaller_positions():
+    rng = random.Random(2)
+    for n in (0, 1, 5, 300):
+        for x in (np.arange(n), np.arange(n)[::-1], np.array([rng.randrange(n) for _ in range(n)], int)):
+            want = [max((j for j in range(i) if x[j] <= x[i] and (x[j] < x[i] or x[j] == x[i])), default=-1) for i in range(n)]
+            assert repeat_removal.smaller_positions(np.asarray(x)).tolist() == want
+
+
 def test_repeats_keep_first(spark):
     rng = random.Random(1)
     text = "".join(rng.choice("abcdefgh ") for _ in range(900))
