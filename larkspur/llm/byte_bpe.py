@@ -1,28 +1,26 @@
 """Byte-level BPE over Arrow batches.
 
-The tokenizers library encodes; its character offsets and the byte-to-character table
-serve ``offsets``. Decoding maps ids to the byte strings they stand for, so characters that
-are split over several ids come back whole once their bytes are joined.
+The tokenizers library encodes. Its vocabulary spells each token in characters that stand for bytes; reversing that
+table (``byte_chars``) gives the byte strings of all ids. Decoding joins them, so characters that
+are split over several ids come back whole. ``offsets`` gives the bytes that each id covers, ``split_ids`` the ids that
+start inside a character.
 """
 
 from __future__ import annotations
 
-import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import lean, table
-from .piecewise import byte_level
+from .piecewise import byte_level, library
 
-RANKS = "byte_bpe_50k.tiktoken"
 MODEL = "byte_bpe_50k.json"
 
 
@@ -34,13 +32,13 @@ def byte_chars() -> dict[int, str]:
 
 
 @lru_cache(maxsize=2)
-def byte_table(ranks: str = RANKS) -> tuple[np.ndarray, np.ndarray]:
+def byte_table(model: str = MODEL) -> tuple[np.ndarray, np.ndarray]:
     """All tokens' bytes one after the other, and where each starts (ids ascending)."""
-    with open(public_tokenizers.path(ranks), "rb") as f:
-        pairs = [line.split() for line in f if line.strip()]
-    parts = [b""] * (max(int(r) for _, r in pairs) + 1)
-    for token, rank in pairs:
-        parts[int(rank)] = base64.b64decode(token)
+    tokens = library(model, True).get_vocab(with_added_tokens=False)
+    byte = {c: b for b, c in byte_chars().items()}
+    parts = [b""] * (max(tokens.values()) + 1)
+    for token, i in tokens.items():
+        parts[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
     return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
 
 
@@ -50,9 +48,9 @@ def encode(texts: list[str], model: str = MODEL) -> Iterator[np.ndarray]:
     return (np.frombuffer(coder(text), dtype="<u4") for text in texts)
 
 
-def decode(ids: np.ndarray, ranks: str = RANKS) -> bytes:
+def decode(ids: np.ndarray, model: str = MODEL) -> bytes:
     """The bytes of ``ids``, gathered from the byte table without a loop over ids."""
-    data, starts = byte_table(ranks)
+    data, starts = byte_table(model)
     ids = ids.astype(np.int64)
     first, n = starts[ids], starts[ids + 1] - starts[ids]
     ends = np.cumsum(n)
@@ -62,14 +60,19 @@ def decode(ids: np.ndarray, ranks: str = RANKS) -> bytes:
     return data[at].tobytes()
 
 
-def offsets(ids: np.ndarray, ranks: str = RANKS) -> np.ndarray:
+def offsets(ids: np.ndarray, model: str = MODEL) -> np.ndarray:
     """(start, end) byte offsets of each id in the decoded text."""
-    _, starts = byte_table(ranks)
+    _, starts = byte_table(model)
     ids = ids.astype(np.int64)
     ends = np.cumsum(starts[ids + 1] - starts[ids])
     return np.stack([np.concatenate([[0], ends[:-1]]), ends], axis=1) if len(ids) else np.zeros((0, 2), np.int64)
 
 
+def split_ids(ids: np.ndarray, decoded: bytes, model: str = MODEL) -> np.ndarray:
+    """Which ids start inside a UTF-8 character of their decoded text."""
+    return np.frombuffer(decoded, np.uint8)[offsets(ids, model)[:, 0]] & 0xC0 == 0x80 if len(ids) else np.zeros(0, bool)
+
+
 def encode_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (array of int): whole texts, null as empty."""
     kept = [c for c in docs.columns if c != "ids"]
@@ -104,7 +107,7 @@ def decode_documents(docs: DataFrame, ids: str = "ids") -> DataFrame:
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and whether decoding gave the text back.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, how many ids start inside a character, and whether decoding gave the text back.
 
     Null texts count as empty: no ids, the digests of nothing. Repeated rows
     are encoded each; an empty table gives none. Texts keep no state between rows.
@@ -118,14 +121,14 @@ def round_trip(docs: DataFrame) -> DataFrame:
                 rows: list[tuple] = []
                 for text, ids in zip(texts, encode(texts), strict=True):
                     back = decode(ids)
-                    rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), back == text.encode()))
-                n, a, b, same = zip(*rows, strict=True)
+                    rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), int(split_ids(ids, back).sum()), back == text.encode()))
+                n, a, b, inside, same = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.array(same)],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"],
+                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.array(inside, pa.int64()), pa.array(same)],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_split", "round_trip"],
                 )
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long, round_trip boolean"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), schema)
 
 

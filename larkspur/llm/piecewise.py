@@ -3,7 +3,8 @@
 A tokenizer that first splits text by a pattern encodes each piece on its own, so the ids
 of a piece never depend on its neighbours. ``PieceEncoder`` splits Latin-range texts with
 the same pattern, lets the tokenizers library encode each piece it hasn't met, and keeps a
-bounded cache in the Python worker. Other texts go to the library whole.
+bounded cache in the Python worker. Other texts go to the library whole: those with characters from U+0250 on,
+with characters that the tokenizer's normalisation may turn into such, and those with a special token's string.
 """
 
 from __future__ import annotations
@@ -38,28 +39,37 @@ def word_end_pattern() -> re.Pattern:
 
 
 @lru_cache(maxsize=4)
-def library(model: str):
+def library(model: str, plain: bool):
+    """The tokenizer; with ``plain`` a special token's string in a text is ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path(model))
-    tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
+    tokenizer.encode_special_tokens = plain
     return tokenizer
 
 
+def changing(fold: Callable[[str], str]) -> str:
+    """The Latin characters that ``fold`` doesn't turn into one Latin character each."""
+    return "".join(c for c in map(chr, range(ord(LATIN_END))) if len(fold(c)) != 1 or fold(c) >= LATIN_END)
+
+
 class PieceEncoder:
-    def __init__(self, model: str, pattern: re.Pattern, kept_gap: bool, fold: Callable[[str], str] = lambda x: x, odd: str = "", most: int = 250_000):
-        """``fold``: the tokenizer's normalisation on Latin texts without the characters ``odd``.
+    def __init__(self, model: str, pattern: re.Pattern, kept_gap: bool, plain: bool, fold: Callable[[str], str] = lambda x: x, most: int = 250_000):
+        """``fold``: the tokenizer's normalisation of Latin texts. ``plain``: special tokens' strings are ordinary text.
 
         ``kept_gap``: a line end between two pieces is a piece of its own, else it vanishes. ``most``: pieces kept.
         """
-        self.model, self.split, self.fold, self.odd = model, pattern.findall, fold, odd
+        self.model, self.plain, self.split, self.fold = model, plain, pattern.findall, fold
+        special = [x.content for x in library(model, plain).get_added_tokens_decoder().values()]
+        whole = [*map(re.escape, [] if plain else special), *([f"[{re.escape(changing(fold))}]"] if changing(fold) else [])]
+        self.odd = re.compile("|".join(whole)).search if whole else lambda text: None
         self.step = 2 if kept_gap else 1
         self.most = most
         self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        found = library(self.model).encode_batch_fast(texts, add_special_tokens=False)
+        found = library(self.model, self.plain).encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
     def pieces(self, new: list[str]) -> dict[str, bytes]:
@@ -68,7 +78,7 @@ class PieceEncoder:
         found: dict[str, bytes] = {}
         for at in range(0, len(plain), 2000):
             part = plain[at : at + 2000]
-            code = library(self.model).encode("\n".join(part), add_special_tokens=False)
+            code = library(self.model, self.plain).encode("\n".join(part), add_special_tokens=False)
             ids, words = np.array(code.ids, dtype="<u4"), np.array(code.word_ids, dtype=np.int64)
             firsts = np.searchsorted(words, np.arange(0, self.step * len(part), self.step))
             ends = np.searchsorted(words, np.arange(0, self.step * len(part), self.step), side="right")
@@ -98,15 +108,16 @@ class PieceEncoder:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return max(text) < LATIN_END and not any(c in text for c in self.odd)
-        return True
+            if max(text) >= LATIN_END:
+                return False
+        return self.odd(text) is None
 
 
 @lru_cache(maxsize=1)
 def byte_level(model: str = "byte_bpe_50k.json") -> PieceEncoder:
-    return PieceEncoder(model, byte_level_pattern(), kept_gap=True)
+    return PieceEncoder(model, byte_level_pattern(), kept_gap=True, plain=True)
 
 
 @lru_cache(maxsize=1)
 def word_end(model: str = "word_bpe_49k.json") -> PieceEncoder:
-    return PieceEncoder(model, word_end_pattern(), False, str.lower, odd="İ", most=1_000_000)
+    return PieceEncoder(model, word_end_pattern(), kept_gap=False, plain=False, fold=str.lower, most=1_000_000)
