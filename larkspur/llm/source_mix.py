@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, table
+from .common import WORD, if_small, stored, table
 
 #: Default tree: domain of a source, weights of domains and languages; sources weigh 1.
 DOMAINS = {"web": range(0, 5), "news": range(5, 10), "reference": range(10, 15), "forum": range(15, 20)}
@@ -84,32 +84,34 @@ def mix_sources(docs: DataFrame, share: float = SHARE, epochs: float = EPOCHS, s
     the prefix at no cost; null languages and sources count as ''. Rows with one doc_id have one place in
     an epoch and are taken in order of their tokens. An empty table gives an empty result.
     """
-    kept = [c for c in docs.columns if c not in ("domain", "tokens", "copies")]
-    lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
-    rows = docs.select(*kept).withColumn("tokens", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    rows = rows.withColumn("domain", domain_of(source)).withColumn("__lang", lang).withColumn("__source", source)
-    narrow = stored(rows.select("doc_id", "domain", F.col("__lang").alias("lang"), F.col("__source").alias("source"), "tokens"))
+    # the columns of ``docs`` travel in one struct, so that no name of theirs meets one of these
+    kept = [docs[f"`{c}`"] for c in docs.columns if c.lower() not in ("domain", "tokens", "copies")]
+    rows = docs.select(
+        F.struct(*kept).alias("row"), docs["doc_id"].alias("doc_id"), F.coalesce(docs["lang"], F.lit("")).alias("lang"), F.coalesce(docs["source"], F.lit("")).alias("source"),
+        F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"),
+    ).withColumn("domain", domain_of(F.col("source")))
+    narrow = stored(rows.drop("row"))
     leaf = ["domain", "lang", "source"]
     leaves = narrow.groupBy(*leaf).agg(F.count("*").alias("docs"), F.sum("tokens").alias("supply"))
     plan = leaf_budgets(leaves, share, epochs).withColumn("whole", F.coalesce(F.floor(F.try_divide("budget", "supply")), F.lit(0)))
     plan = plan.withColumn("rest", F.floor("budget") - F.col("whole") * F.col("supply")).withColumn("ranges", F.ceil(F.col("docs") / RANGE_DOCS))
+    plan = stored(plan.select(*leaf, "whole", "rest", "ranges"))
     placed = lambda df: df.withColumn("u", seeded(seed, F.col("whole"), F.col("doc_id"))).withColumn("range", F.floor(F.col("u") * F.col("ranges")))
-    sums = placed(narrow.join(plan, leaf)).groupBy(*leaf, "range").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"))
+    # a leaf may hold most rows, so they aren't dealt by leaf
+    sums = placed(narrow.join(if_small(plan, 10_000), leaf)).groupBy(*leaf, "range").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"))
     through = F.sum("n").over(W.partitionBy(*leaf).orderBy("range"))
     # the first range that the prefix doesn't take whole
     ends = sums.withColumn("through", through).where(F.col("through") > F.col("rest")).groupBy(*leaf).agg(
         F.min(F.struct("range", (F.col("through") - F.col("n")).alias("before"))).alias("end")
     )
-    plan = stored(plan.join(ends, leaf, "left").select(*(F.col(c).alias(f"__p_{c}") for c in leaf), "whole", "rest", "ranges", F.col("end.range").alias("end"), "end.before"))
-    joined = placed(
-        rows.join(plan, (F.col("domain") == F.col("__p_domain")) & (F.col("__lang") == F.col("__p_lang")) & (F.col("__source") == F.col("__p_source")))
-    )
+    plan = stored(plan.join(ends, leaf, "left").select(*leaf, "whole", "rest", "ranges", F.col("end.range").alias("end"), "end.before"))
+    joined = placed(rows.join(if_small(plan, 10_000), leaf))
     inner = joined.where(F.col("end").isNull() | (F.col("range") != F.col("end")))
     inner = inner.withColumn("copies", F.col("whole") + F.when(F.col("end").isNull() | (F.col("range") < F.col("end")), 1).otherwise(0))
-    order = W.partitionBy("__p_domain", "__p_lang", "__p_source").orderBy("u", "doc_id", "tokens").rowsBetween(W.unboundedPreceding, W.currentRow)
-    edge = joined.where(F.col("range") == F.col("end")).withColumn("__through", F.col("before") + F.sum("tokens").over(order))
-    edge = edge.withColumn("copies", F.col("whole") + F.when(F.col("__through") <= F.col("rest"), 1).otherwise(0))
-    out = [*kept, "domain", "tokens", F.col("copies").cast("long").alias("copies")]
+    order = W.partitionBy(*leaf).orderBy("u", "doc_id", "tokens").rowsBetween(W.unboundedPreceding, W.currentRow)
+    edge = joined.where(F.col("range") == F.col("end")).withColumn("through", F.col("before") + F.sum("tokens").over(order))
+    edge = edge.withColumn("copies", F.col("whole") + F.when(F.col("through") <= F.col("rest"), 1).otherwise(0))
+    out = ["row.*", "domain", "tokens", F.col("copies").cast("long").alias("copies")]
     return inner.select(*out).unionByName(edge.select(*out))
 
 
