@@ -1,11 +1,15 @@
 """Quality rules whose cutoffs carry a finite-sample guarantee.
 
-Every rule compares one text statistic with a cutoff. Cutoffs come from a fixed grid and
-are chosen for each stratum (language) on labelled good documents: a cutoff is
-allowed only if an exact binomial test rejects "this rule wrongly drops at least
-``risk`` of the good documents", at a level corrected (Bonferroni) for every test made. The
-strictest allowed cutoff is taken; a stratum with too few labels allows none, and
-then nothing is dropped there beyond the base rules.
+Every rule compares one text statistic with a cutoff; a document over any cutoff is dropped. Cutoffs move together, from
+strict to lenient, in a fixed number of levels. For each stratum (language) the strictest level is taken for which
+an exact binomial test on labelled good documents rejects "all rules together wrongly drop at least ``risk`` of the
+good documents". Levels are tested from lenient to strict up to the first that fails (a fixed sequence, which needs
+no correction within), at a level divided by the number of strata and the pool (Bonferroni): with probability 1 - ``delta``
+all guarantees hold at once.
+
+A stratum with too few labels to certify any level takes the level certified for the pool of all strata: its
+guarantee is then for good documents of all languages together, not for that stratum (``certified`` tells which). If
+the pool has too few as well, only the base rules drop.
 """
 
 from __future__ import annotations
@@ -16,14 +20,15 @@ from pyspark.sql import functions as F
 from .common import GAP, WORD, stored, table
 
 SYMBOLS = r"[#*$%&|<>]"
-#: rule -> (statistic as SQL, cutoffs from strict to lenient); a document over the cutoff is dropped.
+#: rule -> (statistic as SQL, its cutoff at each level from strict to lenient).
 GRID = {
     "symbols": ("n_symbols / greatest(word_chars, 1)", [0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2]),
     "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", [0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.6]),
-    "repeats": ("n_repeat_words / greatest(n_words, 1)", [0.05, 0.1, 0.15, 0.2, 0.3, 0.4]),
-    "long_words": ("word_chars / greatest(n_words, 1)", [8.0, 9.0, 10.0, 12.0, 15.0, 20.0]),
+    "repeats": ("n_repeat_words / greatest(n_words, 1)", [0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.45]),
+    "long_words": ("word_chars / greatest(n_words, 1)", [8.0, 9.0, 10.0, 12.0, 15.0, 20.0, 30.0]),
 }
-RISK, DELTA = 0.005, 0.05  # wrongly dropped good documents for each rule; chance that any guarantee fails
+LEVELS = 7
+RISK, DELTA = 0.01, 0.05  # good documents wrongly dropped by all rules together; chance that any guarantee fails
 
 
 def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -73,48 +78,47 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(terms, start, step, lambda acc: acc["s"])
 
 
-def controlled_cutoffs(labelled: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, one column for each rule): the strictest cutoff with bounded risk, or null.
+def passed(level: Column | int, rule: str) -> Column:
+    """Whether a document is over the cutoff of ``rule`` at a level."""
+    sql, cutoffs = GRID[rule]
+    return F.expr(sql) > F.get(F.array(*(F.lit(float(c)) for c in cutoffs)), level if isinstance(level, Column) else F.lit(level))
 
-    ``labelled``: good documents only, with ``stratum`` and the statistics of ``text_stats``.
+
+def controlled_levels(labelled: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """(stratum, level): the strictest level with bounded risk; stratum null is the pool. Strata without any aren't returned.
+
+    ``labelled``: good documents only, with ``stratum`` (not null) and the statistics of ``text_stats``.
     """
-    tests = [(rule, c) for rule, (_, grid) in GRID.items() for c in grid]
-    counts = labelled.groupBy("stratum").agg(
-        F.count("*").alias("n"), *(F.count_if(F.expr(f"{GRID[r][0]} > {c}")).alias(f"k{i}") for i, (r, c) in enumerate(tests))
-    )
-    strata = counts.agg(F.count("*").alias("strata"))  # one row
-    each = counts.join(strata, F.lit(True)).select(
-        "stratum",
-        "n",
-        (F.lit(delta) / (F.col("strata") * len(tests))).alias("level"),
-        F.explode(
-            F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"k{i}").alias("k")) for i, (r, c) in enumerate(tests)))
-        ).alias("x"),
+    dropped = [F.count_if(F.greatest(*(passed(t, rule) for rule in GRID))).alias(f"k{t}") for t in range(LEVELS)]
+    counts = labelled.rollup("stratum").agg(F.count("*").alias("n"), *dropped).where("n > 0")
+    each = counts.join(counts.agg(F.count("*").alias("groups")), F.lit(True))  # one row more
+    each = each.select(
+        "stratum", "n", (F.lit(delta) / F.col("groups")).alias("alpha"), F.posexplode(F.array(*(f"k{t}" for t in range(LEVELS)))).alias("level", "k")
     )
-    # beyond the mean of Binomial(n, risk) the test can't reject; the sum stops there
-    tail = F.when(F.col("x.k") > F.col("n") * risk, F.lit(1.0)).otherwise(binomial_cdf(F.col("x.k"), F.col("n"), risk))
-    allowed = each.where(tail <= F.col("level"))
-    return allowed.groupBy("stratum").agg(*(F.min(F.when(F.col("x.rule") == r, F.col("x.cutoff"))).alias(f"cut_{r}") for r in GRID))
+    # beyond the mean of Binomial(n, risk) the test can't reject; the sum stops there. Stricter levels drop more, so
+    # the strictest level that passes is the last of the sequence
+    tail = F.when(F.col("k") > F.col("n") * risk, F.lit(1.0)).otherwise(binomial_cdf(F.col("k"), F.col("n"), risk))
+    return each.where(tail <= F.col("alpha")).groupBy("stratum").agg(F.min("level").alias("level"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """Statistics, base_failed, kept and the rules that dropped a document.
+    """Statistics, base_failed, kept, the rules that dropped a document, its level, and whether that is ``certified`` for its stratum.
 
     ``docs``: doc_id, text, lang; ``labels``: doc_id, quality (1 good). Null and empty texts
-    have no words and fail the base rules; a null language is its own stratum; repeated
-    rows are judged one by one; without labels only the base rules decide.
+    have no words and fail the base rules; a null language is its own stratum ''; repeated
+    rows are judged one by one; without labels only the base rules decide. Other columns are left out.
     """
     stats = stored(
         text_stats(docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), "text")).drop("text")
     ).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     good = labels.where("quality = 1").select("doc_id").distinct()
-    cutoffs = controlled_cutoffs(stats.where("not base_failed").join(good, "doc_id", "left_semi"), risk, delta)
-    over = F.array_compact(F.array(*(F.when(F.expr(f"{sql} > cut_{r}"), F.lit(r)) for r, (sql, _) in GRID.items())))
-    return (
-        stats.join(cutoffs, "stratum", "left")
-        .withColumn("dropped_by", over)
-        .withColumn("kept", ~F.col("base_failed") & (F.size("dropped_by") == 0))
-        .drop(*(f"cut_{r}" for r in GRID))
+    levels = stored(controlled_levels(stats.where("not base_failed").join(good, "doc_id", "left_semi"), risk, delta))
+    own = levels.where("stratum is not null").withColumnRenamed("level", "own")
+    pool = levels.where("stratum is null").agg(F.max("level").alias("pool"))  # one row
+    judged = stats.join(own, "stratum", "left").join(pool, F.lit(True)).withColumn("level", F.coalesce("own", "pool"))
+    over = F.array_compact(F.array(*(F.when(passed(F.col("level"), rule), F.lit(rule)) for rule in GRID)))
+    return judged.select(
+        *stats.columns, "level", F.col("own").isNotNull().alias("certified"), over.alias("dropped_by"), (~F.col("base_failed") & (F.size(over) == 0)).alias("kept")
     )
 
 

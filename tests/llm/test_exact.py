@@ -146,19 +146,45 @@ def test_split_characters_and_offsets():
     assert len(set(byte_bpe.byte_chars().values())) == 256
 
 
-@pytest.mark.parametrize("encoder", [piecewise.byte_level, piecewise.word_end])
-def test_pieces_equal_whole_texts(encoder):
+def oracles():
+    """Encoders made here from the files alone: tiktoken for bytes, a fresh tokenizer for words."""
+    import base64
+
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fresh = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    return {piecewise.byte_level: plain.encode_ordinary, piecewise.word_end: lambda t: fresh.encode(t, add_special_tokens=False).ids}
+
+
+def odd_texts():
     rng = random.Random(2)
     letters = "ab 'sStTreLlΣİß\n\t\r  12½²ªµ-_#é\u0085ǅ<|endoftext|>​中"
-    texts = ["".join(rng.choice(letters[: rng.randint(5, len(letters))]) for _ in range(rng.randint(0, 50))) for _ in range(3000)]
-    assert [encoder()(t) for t in texts] == encoder().whole(texts)
+    texts = ["".join(rng.choice(letters[: rng.randint(5, len(letters))]) for _ in range(rng.randint(0, 50))) for _ in range(2000)]
+    texts += ["".join(rng.choice("ab '1#\x1c\x1d\x1e\x1f\n\t\x0b\x85\xa0é") for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    every = [chr(c) for c in range(0x260)]
+    texts += ["".join(rng.choice(every) for _ in range(rng.randint(1, 30))) for _ in range(4000)]
+    texts += [f"{c}{a}{c}b {c} 1{c}" for c in every for a in ("a", " ", "A")]
+    special = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", " ", "a", "<|", "|>", "É", "\n"]
+    texts += ["".join(rng.choice(special) for _ in range(rng.randint(1, 8))) for _ in range(1000)]
+    return [*texts, "hello\x1cworld", "ƏSAS XƏBƏR", "<|endoftext|> hi", "e\u0301 é", "\ufeffx"]
 
 
 @pytest.mark.parametrize("encoder", [piecewise.byte_level, piecewise.word_end])
-def test_pieces_with_separator_characters(encoder):
-    rng = random.Random(3)
-    texts = ["hello\x1cworld", *("".join(rng.choice("ab '1#\x1c\x1d\x1e\x1f\n\t\x0b\x85\xa0é") for _ in range(rng.randint(0, 30))) for _ in range(3000))]
-    assert [encoder()(t) for t in texts] == encoder().whole(texts)
+def test_pieces_equal_other_encoders(encoder):
+    oracle = oracles()[encoder]
+    wrong = [t for t in odd_texts() if np.frombuffer(encoder()(t), "<u4").tolist() != oracle(t)]
+    assert not wrong
+
+
+def test_byte_table_equals_the_ranks():
+    import base64
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        for token, rank in map(bytes.split, f):
+            assert byte_bpe.decode(np.array([int(rank)])) == base64.b64decode(token)
 
 
 def test_packed_ids(spark):
@@ -167,8 +193,9 @@ def test_packed_ids(spark):
     shards = packed_ids.write_packed(docs(spark, rows), folder)
     got = sorted(map(tuple, packed_ids.read_packed(spark, folder, shards).collect()))
     start, want = 0, []
+    encode = oracles()[piecewise.word_end]
     for i, t in rows:
-        ids = np.array([*piecewise.library("word_bpe_49k.json").encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        ids = np.array([*encode(t or ""), 2], "<u4")
         want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert got == want
@@ -195,6 +222,18 @@ def test_urls(spark):
     assert by[3] == ("a.com", "/en/1", "com/en/", "block") and by[4] == ("example.com", "/en/7", "example.com/en/7", "allow") and by[5] == ("net", "", None, "allow")
     assert by[6] == ("sub.example.net", "/de/81", "example.net/de/8", "block") and by[7] == ("notexample.com", "/en/70", "com/en/", "block")
     assert by[8] == ("org", "/es/", "org/es/", "block") and by[9] == (".com", "/en/", "com/en/", "block")
+    # rules beside brute force, and columns with the names that the operator uses
+    rng = random.Random(6)
+    hosts = ["com", "b.com", "a.b.com", "x", "b.x", ""]
+    rules = [(rng.choice(hosts), rng.choice(["/", "/a", "/ab", "/a/b", ""]), rng.choice(["allow", "block"])) for _ in range(12)] + [(None, "/", "block"), ("x", None, "block")]
+    some = [f"s://{rng.choice(['', 'c.', 'd.c.'])}{rng.choice(hosts)}{rng.choice(['', '/', '/a', '/abc', '/a/b?c', '#'])}" for _ in range(80)]
+    names = "page_id long, url string, u string, v string, m string, short string, Rule string, row string"
+    pages = spark.createDataFrame([(i, x, "u", "v", "m", "s", "r", "w") for i, x in enumerate(some)], names)
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    for r in url_filter.url_filter(pages, table).collect():
+        fit = [(h + p, v) for h, p, v in rules if h is not None and p is not None and (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        best = max(fit, key=lambda x: (len(x[0]), x[1] == "block"), default=(None, "allow"))
+        assert (len(r.rule or ""), r.verdict) == (len(best[0] or ""), best[1]) and (r.u, r.v, r.m, r.short, r.row) == ("u", "v", "m", "s", "w")
     no_rules = url_filter.url_filter(pages, url_filter.rule_table(spark).where("false"))
     assert {r.verdict for r in no_rules.collect()} == {"allow"}
 
@@ -217,10 +256,46 @@ def test_text_stats_and_bounds(spark):
         assert r.p == pytest.approx(sum(comb(r.n, j) * 0.005**j * 0.995 ** (r.n - j) for j in range(r.k + 1)), rel=1e-9)
 
 
-def test_cutoffs_need_enough_labels(spark):
-    good = spark.createDataFrame([("en", 100, 500, 0, 0, 0, 5)] * 3000 + [("de", 100, 500, 0, 0, 0, 5)] * 20, "stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
-    cut = {r.stratum: r for r in quality_rules.controlled_cutoffs(good).collect()}
-    assert set(cut) == {"en"} and cut["en"].cut_symbols == 0.01
+def quality_brute(rows, good, risk, delta):
+    """Levels by stratum and pool, and the kept documents, from the rows' statistics, with exact fractions of the binomial sum."""
+    from math import comb
+
+    value = {
+        "symbols": lambda r: r.n_symbols / max(r.word_chars, 1), "dup_lines": lambda r: r.n_dup_lines / max(r.n_lines, 1),
+        "repeats": lambda r: r.n_repeat_words / max(r.n_words, 1), "long_words": lambda r: r.word_chars / max(r.n_words, 1),
+    }
+    over = lambda r, t: any(value[rule](r) > grid[t] for rule, (_, grid) in quality_rules.GRID.items())
+    sample = [r for r in rows if not r.base_failed and r.doc_id in good]
+    groups = {s: [r for r in sample if r.stratum == s] for s in {r.stratum for r in sample}} | {None: sample}
+    levels = {}
+    for s, members in groups.items():
+        for t in reversed(range(quality_rules.LEVELS)):
+            n, k = len(members), sum(over(r, t) for r in members)
+            if not n or sum(comb(n, j) * risk**j * (1 - risk) ** (n - j) for j in range(k + 1)) > delta / len(groups):
+                break
+            levels[s] = t
+    kept = {r.doc_id for r in rows if not r.base_failed and not ((t := levels.get(r.stratum, levels.get(None))) is not None and over(r, t))}
+    return levels, kept
+
+
+def test_certified_cutoffs(spark):
+    rng = random.Random(11)
+    words = ["alpha", "beta", "gamma", "delta", "#", "$x", "verylongwordindeed"] + [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(900):
+        odd = rng.random()
+        text = [rng.choice(words[(4 if odd > 0.1 else 0) :] if odd > 0.02 else words[4:7]) for _ in range(rng.randint(40, 140))]
+        rows.append((i, "\n".join(" ".join(text[k : k + 12]) for k in range(0, len(text), 12)), "en" if i % 3 else ("de" if i % 9 else None)))
+    rows += [(900, None, "en"), (901, "", None), (5, rows[5][1], "en")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS level", "2 AS own", "3 AS n")
+    labels = spark.createDataFrame([(i, 1) for i in range(800)] + [(7, 1), (8, 0)], "doc_id long, quality int")
+    for risk in (0.01, 0.03, 0.1, 0.4):
+        got = quality_rules.quality_rules(table, labels, risk, 0.05).collect()
+        levels, kept = quality_brute(got, set(range(800)), risk, 0.05)
+        assert len(got) == len(rows) and {r.doc_id for r in got if r.kept} == kept
+        assert {r.stratum: r.level for r in got if r.certified} == {s: t for s, t in levels.items() if s is not None}
+    none = quality_rules.quality_rules(table, labels.where("false")).collect()
+    assert all(r.kept != r.base_failed and r.level is None for r in none)
 
 
 def test_nearest(spark):

@@ -53,8 +53,10 @@ def test_mixing_follows_weights_and_supply(spark):
     rows = [(i, "w " * (10 + i % 7), "en" if i % 3 else "de", f"src{i % 20}") for i in range(900)]
     rows += [(1000, None, None, None), (1001, "", "en", "src0"), (5, "again", "en", "src5"), (5, "again", "en", "src5")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("tokens", F.lit("mine"))
+    for name in ("end", "u", "whole", "rest", "ranges", "before", "range", "row", "n", "through", "budget"):
+        docs = docs.withColumn(name, F.lit(name))
     got = source_mix.mix_sources(docs).collect()
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and all(r["u"] == "u" and r["end"] == "end" and r["range"] == "range" for r in got)
     total = sum(r.tokens for r in got)
     taken = sum(r.tokens * r.copies for r in got)
     assert 0.75 * total <= taken <= 0.8 * total and max(r.copies for r in got) <= 2
