@@ -61,9 +61,8 @@ class PieceEncoder:
         ``kept_gap``: a line end between two pieces is a piece of its own, else it vanishes. ``most``: pieces kept.
         """
         self.model, self.plain, self.split, self.fold = model, plain, pattern.findall, fold
-        special = [x.content for x in library(model, plain).get_added_tokens_decoder().values()]
-        whole = [*map(re.escape, [] if plain else special), *([f"[{re.escape(changing(fold))}]"] if changing(fold) else [])]
-        self.odd = re.compile("|".join(whole)).search if whole else lambda text: None
+        self.special = [] if plain else [x.content for x in library(model, plain).get_added_tokens_decoder().values()]
+        self.odd = changing(fold)  # none of them is in Latin-1
         self.step = 2 if kept_gap else 1
         self.most = most
         self.known: dict[str, bytes] = {}
@@ -108,9 +107,9 @@ class PieceEncoder:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            if max(text) >= LATIN_END:
+            if max(text) >= LATIN_END or any(c in text for c in self.odd):
                 return False
-        return self.odd(text) is None
+        return not any(x in text for x in self.special)
 
 
 @lru_cache(maxsize=1)
