@@ -34,30 +34,38 @@ def hash_sample(rows: DataFrame, key: Column, item: str, k: int, group: list[str
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+#: Contrast roles, in the order in which negatives are taken.
+ROLES = ["history_echo_probe", "head_bias_probe", "tail_underconfidence_probe", "mid_popularity_probe", "stable_negative"]
+
+
 def stratified(rows: DataFrame, k: int) -> DataFrame:
-    """Negatives of an example: one for each role (echo, head, tail, mid, stable) in that order, then in hash order to ``k``.
+    """``k`` negatives of an example: the first in hash order of each role, roles in order, then others in the hash order of the fill.
 
-    ``rows``: example_id, item_id, role.
+    ``rows``: example_id, item_id, role. The hashed texts are example:role:item and example:fill:item. Examples with ``k`` rows or
+    fewer keep them all, by item_id.
     """
-    h = F.sha2(F.concat_ws(":", "example_id", "item_id"), 256)
-    roles = ["echo", "head", "tail", "mid", "stable"]
-    place = F.array_position(F.array(*map(F.lit, roles)), F.col("role"))
-    first = F.row_number().over(W.partitionBy("example_id", "role").orderBy(h, "item_id"))
-    rows = rows.withColumn("first", first == 1).withColumn("h", h)
-    order = W.partitionBy("example_id").orderBy(F.desc("first"), F.when(F.col("first"), place).otherwise(0), "h", "item_id")
-    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("h", "first")
+    hashed = lambda kind: F.sha2(F.concat_ws(":", "example_id", kind, "item_id"), 256)
+    place = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role"))
+    first = F.row_number().over(W.partitionBy("example_id", "role").orderBy(hashed("role"), "item_id")) == 1
+    few = F.count("*").over(W.partitionBy("example_id")) <= k
+    rows = rows.withColumn("first", first).withColumn("few", few)
+    order = W.partitionBy("example_id").orderBy(
+        F.when(F.col("few"), 0).when(F.col("first"), place).otherwise(99), F.when(F.col("few"), F.col("item_id")).otherwise(hashed(F.lit("fill"))), "item_id"
+    )
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("first", "few")
 
 
 def listwise_panel(rows: DataFrame, size: int = 12) -> DataFrame:
-    """Target first, then up to size / 2 most popular, then the least popular, in hash order on ties.
+    """Target first, with it up to size / 2 most popular, then the least popular; ties in hash order (example:head:item, example:tail:item).
 
     ``rows``: example_id, target, item_id, popularity.
     """
-    h = F.sha2(F.concat_ws(":", "example_id", "item_id"), 256)
+    hashed = lambda kind: F.sha2(F.concat_ws(":", "example_id", F.lit(kind), "item_id"), 256)
     is_target = F.col("item_id") == F.col("target")
-    rows = rows.withColumn("h", h)
-    top = F.row_number().over(W.partitionBy("example_id", is_target).orderBy(F.desc("popularity"), "h"))
-    low = F.row_number().over(W.partitionBy("example_id", is_target).orderBy("popularity", "h"))
-    rows = rows.withColumn("top", top).withColumn("low", low).withColumn("part", F.when(is_target, 0).when(F.col("top") <= size // 2, 1).otherwise(2))
+    mine = F.max(F.when(is_target, 1).otherwise(0)).over(W.partitionBy("example_id"))
+    top = F.row_number().over(W.partitionBy("example_id", is_target).orderBy(F.desc("popularity"), hashed("head"), "item_id"))
+    low = F.row_number().over(W.partitionBy("example_id", is_target).orderBy("popularity", hashed("tail"), "item_id"))
+    rows = rows.withColumn("mine", mine).withColumn("top", top).withColumn("low", low)
+    rows = rows.withColumn("part", F.when(is_target, 0).when(F.col("top") <= size // 2 - F.col("mine"), 1).otherwise(2))
     order = W.partitionBy("example_id").orderBy("part", F.when(F.col("part") == 1, F.col("top")).otherwise(F.col("low")))
-    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size).drop("h", "top", "low", "part")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size).drop("mine", "top", "low", "part")

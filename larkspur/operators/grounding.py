@@ -16,19 +16,26 @@ from pyspark.sql import functions as F
 from larkspur.functions import text as T
 
 
-def token_overlaps(titles: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(title_id, item_id, overlap): Jaccard of token sets for pairs that share a token.
+def token_overlaps(titles: DataFrame, catalog: DataFrame, least: float) -> DataFrame:
+    """(title_id, item_id, overlap): pairs whose token sets have a Jaccard similarity of ``least`` or more.
 
-    Tokens meet in an equi-join on (token, slice): frequent tokens are spread over slices of the catalog, and titles
-    are repeated for each slice, so no token gathers all of its pairs in one task.
+    Tokens are ordered from rare to frequent in the catalog. Similar sets of which the larger part is common share one
+    of the first n - ceil(least * n) + 1 tokens of each, so only these prefixes meet in an equi-join: frequent tokens of
+    titles that have rarer ones are never joined. A pair is judged at its first common token, so no pairs are gathered.
     """
-    slices = 8
-    a = titles.select("title_id", T.token_set(T.normalize_ascii(F.col("title"))).alias("a"))
-    b = catalog.select("item_id", T.token_set(T.normalize_ascii(F.col("title"))).alias("b"))
-    left = a.select("title_id", F.size("a").alias("na"), F.explode("a").alias("t")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    right = b.select("item_id", F.size("b").alias("nb"), F.explode("b").alias("t")).withColumn("slice", F.pmod(F.xxhash64("item_id"), F.lit(slices)).cast("int"))
-    common = left.join(right, ["t", "slice"]).groupBy("title_id", "item_id", "na", "nb").agg(F.count("*").alias("c"))
-    return common.select("title_id", "item_id", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("overlap"))
+    tokens = lambda rows, key: rows.select(key, F.explode(T.token_set(T.normalize_ascii(F.col("title")))).alias("t"))
+    counts = tokens(catalog, "item_id").groupBy("t").agg(F.count("*").alias("c"))
+
+    def prefixes(rows: DataFrame, key: str) -> DataFrame:
+        known = tokens(rows, key).join(counts, "t", "left").select(key, F.struct(F.coalesce("c", F.lit(0)).alias("c"), F.xxhash64("t").alias("t")).alias("x"))
+        sets = known.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]).alias(f"{key}_set"))
+        n = F.size(f"{key}_set")
+        sets = sets.withColumn(f"{key}_prefix", F.slice(f"{key}_set", 1, (n - F.ceil(n * least) + 1).cast("int")))
+        return sets.withColumn("t", F.explode(f"{key}_prefix"))
+
+    both = prefixes(titles, "title_id").join(prefixes(catalog, "item_id"), "t")
+    both = both.where(F.get(F.array_intersect("title_id_prefix", "item_id_prefix"), F.lit(0)) == F.col("t"))
+    return both.select("title_id", "item_id", T.jaccard(F.col("title_id_set"), F.col("item_id_set")).alias("overlap")).where(F.col("overlap") >= least)
 
 
 def ground(titles: DataFrame, catalog: DataFrame, least: float = 0.5) -> DataFrame:
@@ -41,7 +48,7 @@ def ground(titles: DataFrame, catalog: DataFrame, least: float = 0.5) -> DataFra
     rows = titles.withColumn("k", F.lower("title")).withColumn("f", T.normalize_ascii(F.col("title")))
     rows = rows.join(exact, "k", "left").join(flat, "f", "left")
     open_rows = rows.where("exact_id is null and flat_id is null")
-    best = token_overlaps(open_rows, catalog).where(F.col("overlap") >= least)
+    best = token_overlaps(open_rows, catalog, least)
     order = W.partitionBy("title_id").orderBy(F.desc("overlap"), "item_id")
     best = best.withColumn("p", F.row_number().over(order)).where("p = 1").select("title_id", F.col("item_id").alias("near_id"), "overlap")
     rows = rows.join(best, "title_id", "left")

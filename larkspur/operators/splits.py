@@ -51,6 +51,17 @@ def rolling(inter: DataFrame, min_history: int = 3, max_history: int = 10) -> Da
     )
 
 
+def leave_last(inter: DataFrame, min_history: int = 3, max_history: int | None = None, leave: int = 2) -> DataFrame:
+    """Examples from ``min_history`` on: the last item of a user is test, with ``leave`` 2 the one before it val, the others train."""
+    if leave not in (1, 2):
+        raise ValueError("leave must be 1 or 2")
+    seq = timeline(inter).withColumn("history", history(max_history))
+    idx, n = F.col("idx"), F.col("n")
+    split = F.when(idx == n - 1, "test").when((idx == n - 2) & (n >= min_history + 2) & (leave == 2), "val").when(idx < F.greatest(F.lit(min_history), n - leave), "train")
+    out = seq.where((n > min_history) & (idx >= min_history)).withColumn("split", split).where("split is not null")
+    return out.select(F.concat_ws(":", "user_id", "idx").alias("example_id"), "user_id", "idx", "split", "history", F.col("item_id").alias("target"), "ts")
+
+
 def chronological(examples: DataFrame, train: float = 0.8, valid: float = 0.1, name: str = "valid") -> DataFrame:
     """Split all examples by (ts, user_id, example_id): first int(N * train), up to int(N * (train + valid)), rest.
 

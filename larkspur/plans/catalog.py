@@ -10,14 +10,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.plans import confidence, data, enriched, ranking, text
+from larkspur.plans import baselines, confidence, data, enriched, ranking, text
 
-MODULES = [data, ranking, confidence, text, enriched]
+MODULES = [data, ranking, confidence, text, enriched, baselines]
 DIGITS = 11
 #: The fractional columns of each query that has SQL.
 FRACTIONS = {
     "area_under_risk": ("aurc", "optimal_aurc", "excess"),
     "attribution": ("d_mrr",),
+    "case_labels": ("mean_confidence",),
+    "coverage_by_domain": ("coverage", "catalog_coverage"),
+    "exposure_inequality": ("gini", "entropy"),
+    "popular_title": ("confidence",),
+    "ranked_title": ("confidence",),
     "candidate_evidence": ("preference", "confidence"),
     "confidence_rates": ("cbu", "wbc"),
     "coverage": ("coverage", "catalog_coverage", "row_coverage"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspur.operators import calibration, evidence, exposure, mock, policy, popularity
+from larkspur.operators import calibration, candidates, evidence, exposure, mock, policy, popularity
 from larkspur.plans.data import examples, train_popularity
 from larkspur.plans.ranking import BUCKET, CAND, MARKOV_SCORE, MOVES, POP_SCORE, buckets, scored, test_candidates
 from larkspur.sources import views
@@ -217,7 +217,14 @@ def fusion_order(spark, sf_dir):
     return policy.fused(_panel(spark, sf_dir).where("place <= 10")).select("example_id", "item_id", "fusion", F.col("place").alias("fused"))
 
 
-@query("merged_order", f"""{PANEL}, {_FUSED}, o AS (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY fused) AS slot FROM ff), p AS (SELECT example_id, place, row_number() OVER (PARTITION BY example_id ORDER BY place) AS slot FROM ff)
+def _once(sql: str) -> str:
+    """The parts that are read several times are made once."""
+    for name in ("ex", "cand", "panel", "ff"):
+        sql = sql.replace(f"{name} AS (", f"{name} AS MATERIALIZED (", 1)
+    return sql
+
+
+@query("merged_order", _once(f"{PANEL}, {_FUSED}") + """, o AS (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY fused) AS slot FROM ff), p AS (SELECT example_id, place, row_number() OVER (PARTITION BY example_id ORDER BY place) AS slot FROM ff)
   SELECT o.example_id, o.item_id, CAST(p.place AS INTEGER) AS place FROM o JOIN p USING (example_id, slot) UNION ALL SELECT example_id, item_id, CAST(place AS INTEGER) FROM panel WHERE place > 10""")
 def merged_order(spark, sf_dir):
     panel = _panel(spark, sf_dir)
@@ -257,6 +264,17 @@ def candidate_evidence(spark, sf_dir):
     return _evidence(spark, sf_dir, None).select("example_id", "item_id", "role", "preference", "confidence")
 
 
+_ROLE_PLACE = "CASE role WHEN 'history_echo_probe' THEN 1 WHEN 'head_bias_probe' THEN 2 WHEN 'tail_underconfidence_probe' THEN 3 WHEN 'mid_popularity_probe' THEN 4 ELSE 5 END"
+
+
+@query("stratified_negatives", f"""{EVID}, n AS (SELECT example_id, item_id, role, count(*) OVER (PARTITION BY example_id) <= 6 AS few, row_number() OVER (PARTITION BY example_id, role ORDER BY sha256(example_id || ':' || role || ':' || item_id), item_id) = 1 AS is_first FROM ev WHERE NOT pos)
+  SELECT example_id, item_id, role, CAST(row_number() OVER w AS INTEGER) AS place FROM n WINDOW w AS (PARTITION BY example_id ORDER BY CASE WHEN few THEN 0 WHEN is_first THEN {_ROLE_PLACE} ELSE 99 END,
+    CASE WHEN few THEN item_id ELSE sha256(example_id || ':fill:' || item_id) END, item_id) QUALIFY row_number() OVER w <= 6""")
+def stratified_negatives(spark, sf_dir):
+    rows = _evidence(spark, sf_dir, None).where("item_id != target").select("example_id", "item_id", "role")
+    return candidates.stratified(rows, 6)
+
+
 @query("policy_targets")
 def policy_targets(spark, sf_dir):
     r = evidence.policy_targets(_evidence(spark, sf_dir))

@@ -40,7 +40,8 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def train_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train counts of every catalog item."""
-    return popularity.with_catalog(popularity.train_counts(examples(spark, sf_dir)), views.items(spark, sf_dir))
+    counts = popularity.train_counts_of(splits.timeline(views.interactions(spark, sf_dir)))
+    return popularity.with_catalog(counts, views.items(spark, sf_dir))
 
 
 @query("clean_items", r"""SELECT CAST(p_partkey AS VARCHAR) AS item_id, trim(regexp_replace(regexp_replace('  ' || p_name || chr(9) || chr(7) || p_brand, '[\x00-\x1f\x7f]', ' ', 'g'), '\s+', ' ', 'g')) AS title,
@@ -128,6 +129,11 @@ def popularity_percentile(spark, sf_dir):
     return popularity.percentile(train_popularity(spark, sf_dir)).select("item_id", "percentile")
 
 
+@query("train_counts", f"WITH {EX} SELECT item_id, count(*) AS popularity FROM (SELECT unnest(list_append(history, target)) AS item_id FROM ex WHERE split = 'train') GROUP BY item_id")
+def train_counts(spark, sf_dir):
+    return popularity.train_counts(examples(spark, sf_dir))
+
+
 _EXAMPLE = "example_id, user_id, split, target, len(history) AS n_history, array_to_string(history, ',') AS history"
 
 
@@ -153,6 +159,12 @@ def chronological_split(spark, sf_dir):
     return splits.chronological(splits.rolling(views.interactions(spark, sf_dir))).select("example_id", "split")
 
 
+@query("leave_last", f"""WITH {SEQ} SELECT user_id || ':' || idx AS example_id, item_id AS target, CASE WHEN idx = n - 1 THEN 'test' WHEN idx = n - 2 AND n >= 5 THEN 'val' ELSE 'train' END AS split,
+  array_to_string(list(item_id) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), ',') AS history FROM seq QUALIFY n > 3 AND idx >= 3 AND (idx = n - 1 OR (idx = n - 2 AND n >= 5) OR idx < greatest(3, n - 2))""")
+def leave_last(spark, sf_dir):
+    return splits.leave_last(views.interactions(spark, sf_dir), 3, 6, 2).select("example_id", "target", "split", F.array_join("history", ",").alias("history"))
+
+
 @query("user_sequences", f"""WITH {INTER} SELECT user_id, array_to_string(list(item_id ORDER BY ts, item_id, l_orderkey, l_linenumber), ',') AS items, sum(rating) AS ratings FROM inter GROUP BY user_id""")
 def user_sequences(spark, sf_dir):
     rows = splits.user_sequences(views.interactions(spark, sf_dir))

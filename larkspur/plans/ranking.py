@@ -117,17 +117,10 @@ def buckets(spark, sf_dir) -> DataFrame:
     return popularity.buckets_head_tail(popularity.ranked(train_popularity(spark, sf_dir)))
 
 
-@query("stratified_negatives", f"""{CAND}, {BUCKET}, n AS (SELECT c.example_id, c.item_id, bucket AS role, sha256(c.example_id || ':' || c.item_id) AS h FROM cand c JOIN b USING (item_id) JOIN test t ON t.example_id = c.example_id WHERE c.item_id <> t.target),
-  f AS (SELECT *, row_number() OVER (PARTITION BY example_id, role ORDER BY h, item_id) = 1 AS is_first FROM n)
-  SELECT example_id, item_id, role, CAST(row_number() OVER w AS INTEGER) AS place FROM f WINDOW w AS (PARTITION BY example_id ORDER BY is_first DESC, CASE WHEN is_first THEN CASE role WHEN 'head' THEN 2 WHEN 'tail' THEN 3 ELSE 4 END ELSE 0 END, h, item_id) QUALIFY row_number() OVER w <= 6""")
-def stratified_negatives(spark, sf_dir):
-    rows = test_candidates(spark, sf_dir).where("item_id != target").join(buckets(spark, sf_dir).select("item_id", F.col("bucket").alias("role")), "item_id")
-    return candidates.stratified(rows.select("example_id", "item_id", "role"), 6)
-
-
-@query("listwise_panel", f"""{CAND}, n AS (SELECT c.example_id, c.item_id, popularity, c.item_id = t.target AS is_target, sha256(c.example_id || ':' || c.item_id) AS h FROM cand c JOIN test t ON t.example_id = c.example_id JOIN pops p ON p.item_id = c.item_id),
-  o AS (SELECT *, row_number() OVER (PARTITION BY example_id, is_target ORDER BY popularity DESC, h) AS top, row_number() OVER (PARTITION BY example_id, is_target ORDER BY popularity, h) AS low FROM n),
-  q AS (SELECT *, CASE WHEN is_target THEN 0 WHEN top <= 6 THEN 1 ELSE 2 END AS part FROM o)
+@query("listwise_panel", f"""{CAND}, n AS (SELECT c.example_id, c.item_id, popularity, c.item_id = t.target AS is_target FROM cand c JOIN test t ON t.example_id = c.example_id JOIN pops p ON p.item_id = c.item_id),
+  o AS (SELECT *, max(is_target::INT) OVER (PARTITION BY example_id) AS mine, row_number() OVER (PARTITION BY example_id, is_target ORDER BY popularity DESC, sha256(example_id || ':head:' || item_id), item_id) AS top,
+    row_number() OVER (PARTITION BY example_id, is_target ORDER BY popularity, sha256(example_id || ':tail:' || item_id), item_id) AS low FROM n),
+  q AS (SELECT *, CASE WHEN is_target THEN 0 WHEN top <= 6 - mine THEN 1 ELSE 2 END AS part FROM o)
   SELECT example_id, item_id, CAST(row_number() OVER w AS INTEGER) AS place FROM q WINDOW w AS (PARTITION BY example_id ORDER BY part, CASE WHEN part = 1 THEN top ELSE low END) QUALIFY row_number() OVER w <= 12""")
 def listwise_panel(spark, sf_dir):
     rows = test_candidates(spark, sf_dir).join(train_popularity(spark, sf_dir), "item_id")

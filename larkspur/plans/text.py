@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def all_titles(spark, sf_dir) -> DataFrame:
+def titles(spark, sf_dir) -> DataFrame:
     """Titles with noise: as written, in capitals with punctuation, with a word dropped or two added."""
     items = views.items(spark, sf_dir)
     kind = F.pmod(F.col("item_id").cast("int"), F.lit(4))
@@ -35,13 +35,8 @@ def all_titles(spark, sf_dir) -> DataFrame:
     return items.select(F.col("item_id").alias("title_id"), noisy.alias("title"))
 
 
-def titles(spark, sf_dir) -> DataFrame:
-    """The fifth of all titles that the SQL of ground_titles and ground_blocked names."""
-    return all_titles(spark, sf_dir).where("cast(title_id as int) % 10 = 3 or cast(title_id as int) % 10 = 6")
-
-
 TITLES = """tt AS (SELECT item_id AS title_id, CASE CAST(item_id AS INTEGER) % 4 WHEN 0 THEN title WHEN 1 THEN upper(title) || '!' WHEN 2 THEN array_to_string(string_split(title, ' ')[2:], ' ') ELSE title || ' deluxe edition' END AS title
-  FROM items WHERE CAST(item_id AS INTEGER) % 10 IN (3, 6))"""
+  FROM items)"""
 _FLAT = "trim(regexp_replace(regexp_replace(lower({}), '[!\"#$%&''()*+,./:;<=>?@\\[\\\\\\]^_`{{|}}~-]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
@@ -57,20 +52,19 @@ def ground_titles(spark, sf_dir):
     return grounding.ground(titles(spark, sf_dir), views.items(spark, sf_dir))
 
 
-@query("ground_blocked", f"""WITH {ITEMS}, {TITLES}, norm AS (SELECT title_id AS id, true AS q, trim(regexp_replace(regexp_replace(lower(title), '&', ' and ', 'g'), '[^a-z0-9_]+', ' ', 'g')) AS f FROM tt WHERE CAST(title_id AS INTEGER) % 100 < 10
+@query("ground_blocked", f"""WITH {ITEMS}, {TITLES}, norm AS (SELECT title_id AS id, true AS q, trim(regexp_replace(regexp_replace(lower(title), '&', ' and ', 'g'), '[^a-z0-9_]+', ' ', 'g')) AS f FROM tt
     UNION ALL SELECT item_id, false, trim(regexp_replace(regexp_replace(lower(title), '&', ' and ', 'g'), '[^a-z0-9_]+', ' ', 'g')) FROM items),
   p AS (SELECT id, q, length(f) AS n, replace(f, ' ', '') AS z, f FROM norm),
   k AS (SELECT id, q, n, unnest(list_distinct(list_filter(string_split(f, ' '), lambda x: length(x) >= 2))) AS g, 4 AS w FROM p UNION ALL SELECT id, q, n, '#' || unnest(list_distinct(list_transform(range(1, length(z) - 1), lambda i: substr(z, i, 3)))), 1 FROM p),
   s AS (SELECT a.id AS title_id, b.id AS item_id, CAST(sum(a.w) AS BIGINT) AS weight, abs(any_value(a.n) - any_value(b.n)) AS gap FROM k a JOIN k b ON a.g = b.g AND a.q AND NOT b.q GROUP BY ALL)
   SELECT title_id, item_id, weight, CAST(row_number() OVER (PARTITION BY title_id ORDER BY weight DESC, gap, item_id) AS INTEGER) AS place FROM s QUALIFY row_number() OVER (PARTITION BY title_id ORDER BY weight DESC, gap, item_id) <= 20""")
 def ground_blocked(spark, sf_dir):
-    some = titles(spark, sf_dir).where("cast(title_id as int) % 100 < 10")
-    return grounding.blocked(some, views.items(spark, sf_dir), 20).select("title_id", "item_id", "weight", "place")
+    return grounding.blocked(titles(spark, sf_dir), views.items(spark, sf_dir), 20).select("title_id", "item_id", "weight", "place")
 
 
 @query("ground_fuzzy")
 def ground_fuzzy(spark, sf_dir):
-    return grounding.ground_fuzzy(all_titles(spark, sf_dir), views.items(spark, sf_dir))
+    return grounding.ground_fuzzy(titles(spark, sf_dir), views.items(spark, sf_dir))
 
 
 def answers(spark, sf_dir) -> DataFrame:
@@ -103,15 +97,22 @@ def parse_rankings(spark, sf_dir):
     return parsing.rankings(ex.withColumn("raw", raw).withColumn("labels", labels)).select("example_id", "error", F.array_join("items", ",").alias("items"))
 
 
-@query("artifact_check", f"""{PRED}, l AS (SELECT method, example_id, list(item_id ORDER BY k) AS items FROM top WHERE method = 'popularity' GROUP BY ALL), rk AS (SELECT * FROM l WHERE CAST(split_part(example_id, ':', 1) AS INTEGER) % 7 <> 0),
-  i AS (SELECT example_id, history FROM ex WHERE split = 'test' AND CAST(split_part(example_id, ':', 1) AS INTEGER) % 5 <> 0)
-  SELECT (SELECT count(*) FROM i WHERE example_id NOT IN (SELECT example_id FROM rk)) AS missing, (SELECT count(*) FROM rk WHERE example_id NOT IN (SELECT example_id FROM i)) AS extra, 0::BIGINT AS repeated, 0::BIGINT AS "unknown",
+@query("artifact_check", f"""{PRED}, l AS (SELECT example_id, CAST(split_part(example_id, ':', 1) AS INTEGER) AS u, list(item_id ORDER BY k) AS items FROM top WHERE method = 'popularity' GROUP BY ALL),
+  r0 AS (SELECT u, CASE WHEN u % 7 = 0 THEN 'x' || example_id ELSE example_id END AS example_id, CASE WHEN u % 13 = 0 THEN list_append(items, 'none') ELSE items END AS items FROM l), rk AS (SELECT example_id, items FROM r0 UNION ALL SELECT example_id, items FROM r0 WHERE u % 11 = 0),
+  i AS (SELECT CASE WHEN CAST(user_id AS INTEGER) % 5 = 0 THEN 'y' || example_id ELSE example_id END AS example_id, history FROM ex WHERE split = 'test')
+  SELECT (SELECT count(*) FROM i WHERE example_id NOT IN (SELECT example_id FROM rk)) AS missing, (SELECT count(*) FROM rk WHERE example_id NOT IN (SELECT example_id FROM i)) AS extra,
+  (SELECT count(*) FROM (SELECT example_id FROM rk GROUP BY example_id HAVING count(*) > 1)) AS repeated, (SELECT count(*) FROM (SELECT unnest(items) AS item_id FROM rk) WHERE item_id NOT IN (SELECT item_id FROM items)) AS "unknown",
   (SELECT CAST(coalesce(sum(len(list_intersect(items, history))), 0) AS BIGINT) FROM rk JOIN i USING (example_id)) AS overlap""")
 def artifact_check(spark, sf_dir):
+    """All rankings and inputs; some keys are altered, rows repeated and items unknown, so that every count has something to find."""
     user = F.substring_index("example_id", ":", 1).cast("int")
-    rankings = predicted(spark, sf_dir, ("popularity",)).select("example_id", F.col("predicted").alias("items")).where(user % 7 != 0)
-    inputs = examples(spark, sf_dir).where("split = 'test'").select("example_id", "history").where(user % 5 != 0)
-    return audit.artifact_check(rankings, inputs, views.items(spark, sf_dir))
+    rankings = predicted(spark, sf_dir, ("popularity",)).select(user.alias("u"), "example_id", F.col("predicted").alias("items"))
+    rankings = rankings.withColumn("example_id", F.when(F.col("u") % 7 == 0, F.concat(F.lit("x"), "example_id")).otherwise(F.col("example_id")))
+    rankings = rankings.withColumn("items", F.when(F.col("u") % 13 == 0, F.array_append("items", "none")).otherwise(F.col("items")))
+    rankings = rankings.unionByName(rankings.where("u % 11 = 0"))
+    inputs = examples(spark, sf_dir).where("split = 'test'").select("example_id", "history", user.alias("u"))
+    inputs = inputs.withColumn("example_id", F.when(F.col("u") % 5 == 0, F.concat(F.lit("y"), "example_id")).otherwise(F.col("example_id")))
+    return audit.artifact_check(rankings.select("example_id", "items"), inputs.select("example_id", "history"), views.items(spark, sf_dir))
 
 
 @query("attribution", f"""{PRED}, l AS (SELECT method, example_id, list(item_id ORDER BY k) AS p FROM top GROUP BY ALL), z AS (SELECT method, example_id, rank, p FROM hit JOIN l USING (method, example_id)), a AS (SELECT * FROM z WHERE method = 'markov'), b AS (SELECT * FROM z WHERE method = 'popularity')
