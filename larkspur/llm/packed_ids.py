@@ -179,7 +179,8 @@ def read_packed(spark: SparkSession, folder: str, shards: DataFrame) -> DataFram
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 shard = Shard(content.as_py())
-                crc = [zlib.crc32(shard.document(k).astype("<u4").tobytes()) for k in range(len(shard.doc_ids))]
+                ids, first = shard.slice(0, shard.n).astype("<u4"), shard.first.tolist()  # SHARD_IDS and one text's at most
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([path.as_py().rpartition("/")[2]] * len(crc), pa.string()),

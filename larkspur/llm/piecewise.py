@@ -30,12 +30,13 @@ def latin(kind: str) -> str:
 
 def byte_level_pattern() -> re.Pattern:
     letter, number = latin("L"), latin("N")
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{SPACE}{letter}{number}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+    # words first, as most pieces are: none of the other alternatives starts as they do
+    return re.compile(rf" ?[{letter}]+|'(?:s|t|re|ve|m|ll|d)| ?[{number}]+| ?[^{SPACE}{letter}{number}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
 def word_end_pattern() -> re.Pattern:
     letter, number = latin("L"), latin("N")
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{SPACE}{letter}{number}]+")
+    return re.compile(rf"[{letter}]+|'(?:s|t|re|ve|m|ll|d)|[{number}]|[^{SPACE}{letter}{number}]+")
 
 
 @lru_cache(maxsize=4)
