@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.plans import baselines, confidence, data, enriched, ranking, text
+from larkspur.plans import baselines, confidence, data, enriched, ranking, records, text
 
-MODULES = [data, ranking, confidence, text, enriched, baselines]
+MODULES = [data, ranking, confidence, text, enriched, baselines, records]
 DIGITS = 11
 #: The fractional columns of each query that has SQL.
 FRACTIONS = {
@@ -23,6 +23,9 @@ FRACTIONS = {
     "exposure_inequality": ("gini", "entropy"),
     "popular_title": ("confidence",),
     "ranked_title": ("confidence",),
+    "candidate_summary": ("chosen_rate", "mean_place"),
+    "filled_ranking": ("score",),
+    "panel_stats": ("in_panel", "fallback_place", "answer_place", "top_hit"),
     "candidate_evidence": ("preference", "confidence"),
     "confidence_rates": ("cbu", "wbc"),
     "coverage": ("coverage", "catalog_coverage", "row_coverage"),
