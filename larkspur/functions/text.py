@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +28,22 @@ def normalize_title(x: Column) -> Column:
     return F.regexp_replace(flat, r"^(a|an|the) ", "")
 
 
+def folded_title(title: str) -> str:
+    """As ``normalize_title``, of compatibility forms (NFKC) and with full case folding."""
+    flat = unicodedata.normalize("NFKC", title).casefold().replace("&", " and ")
+    return re.sub(r"^(a|an|the)\s+", "", re.sub(r"[^\w]+", " ", flat).strip(), flags=re.IGNORECASE)
+
+
+@lru_cache
+def _fold_udf():
+    return F.pandas_udf(lambda titles: titles.map(folded_title), "string")
+
+
+def fold_title(x: Column) -> Column:
+    """``folded_title`` of a column without nulls, in Arrow batches: no built-in function normalises Unicode."""
+    return _fold_udf()(x)
+
+
 def tokens(x: Column) -> Column:
     """Lower-case runs of ASCII letters and digits, with repetition."""
     return F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), F.lit(0))

@@ -5,15 +5,12 @@ Titles: title_id, title. Catalog: item_id, title (and popularity where ties ask
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
+from larkspur.operators import similarity
 
 
 def token_overlaps(titles: DataFrame, catalog: DataFrame, least: float) -> DataFrame:
@@ -77,41 +74,57 @@ def blocked(titles: DataFrame, catalog: DataFrame, k: int = 50) -> DataFrame:
     return weights.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def ground_fuzzy(titles: DataFrame, catalog: DataFrame, threshold: float = 0.86, margin: float = 0.03, most: int = 2000, k: int = 1500) -> DataFrame:
-    """title_id, item_id, status, score, ambiguity by matching-block ratio.
+def ground_fuzzy(titles: DataFrame, catalog: DataFrame, threshold: float = 0.86, margin: float = 0.03, k: int = 5, rank_all: bool = False) -> DataFrame:
+    """title_id, item_id, status, score, ambiguity, second_score and the ``k`` best candidates (item_id, score), by matching-block ratio.
+
+    In this order: a title without words is ungrounded; titles equal as written to one item are exact (1), to several ambiguous;
+    equal after normalising to one, normalized_exact (0.98), to several ambiguous; else the best ratio of the whole catalog
+    decides: below ``threshold`` ungrounded, within ``margin`` of the second ambiguous, else fuzzy. Ungrounded and ambiguous titles score 0. Ties
+    go to the smallest item_id.
 
-    More than one exact or normalised match in the catalog is ambiguous; a fuzzy best must beat the second by ``margin``. Titles are
-    compared with the whole catalog, with more than ``most`` items with the ``k`` best blocked ones.
+    Titles that the joins settle list only their matches as candidates, and those without words none; only the rest is
+    compared, each different one once. With ``rank_all`` all titles are compared, and candidates are always the best of the catalog. Ambiguity
+    is 1 less the lead of the first candidate over the second, 0 without a second.
     """
-    names = catalog.select("item_id", F.col("title").alias("other"))
-    if catalog.limit(most + 1).count() <= most:
-        pairs = titles.crossJoin(names)
-    else:
-        pairs = blocked(titles, catalog, k).select("title_id", "item_id").join(titles, "title_id").join(names, "item_id")
-    pairs = pairs.select("title_id", "item_id", T.normalize_title(F.col("title")).alias("a"), T.normalize_title(F.col("other")).alias("b"))
-    exact = catalog.groupBy(F.lower("title").alias("k")).agg(F.count("*").alias("exact"), F.min("item_id").alias("exact_id"))
-    flat = catalog.groupBy(T.normalize_title(F.col("title")).alias("f")).agg(F.count("*").alias("flat"), F.min("item_id").alias("flat_id")).where("f != ''")
-    known = titles.select("title_id", F.lower("title").alias("k"), T.normalize_title(F.col("title")).alias("f")).join(exact, "k", "left").join(flat, "f", "left").drop("k", "f")
-
-    def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ratio = [difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(pdf["a"], pdf["b"], strict=True)]
-            yield pdf.assign(ratio=ratio)[["title_id", "item_id", "ratio"]]
-
-    scored = pairs.mapInPandas(ratios, "title_id string, item_id string, ratio double")
-    order = W.partitionBy("title_id").orderBy(F.desc("ratio"), "item_id")
-    ranked = scored.withColumn("p", F.row_number().over(order))
-    per = ranked.groupBy("title_id").agg(
-        F.max(F.when(F.col("p") == 1, F.col("item_id"))).alias("best"), F.max(F.when(F.col("p") == 1, F.col("ratio"))).alias("top"), F.max(F.when(F.col("p") == 2, F.col("ratio"))).alias("second"),
-    )
-    per = known.join(per, "title_id", "left")
-    lead = F.col("top") - F.coalesce("second", F.lit(0.0))
-    status = (
-        F.when(F.col("exact") == 1, "exact").when(F.col("exact") > 1, "ambiguous").when(F.col("flat") == 1, "normalized_exact").when(F.col("flat") > 1, "ambiguous")
-        .when((F.col("top") >= threshold) & (lead > margin), "fuzzy").when(F.col("top") >= threshold, "ambiguous").otherwise("ungrounded")
-    )
-    per = per.withColumn("status", status)
-    item = F.when(F.col("status") == "exact", F.col("exact_id")).when(F.col("status")== "normalized_exact", F.col("flat_id")).when(F.col("status") == "fuzzy", F.col("best"))
-    score = F.when(F.col("status") == "exact", 1.0).when(F.col("status") == "normalized_exact", 0.98).otherwise(F.col("top"))
-    found = per.select("title_id", item.alias("item_id"), "status", score.alias("score"), F.when(F.col("second").isNull(), 0.0).otherwise(1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), lead))).alias("ambiguity"))
-    return titles.select("title_id").join(found, "title_id", "left").select("title_id", "item_id", F.coalesce("status", F.lit("ungrounded")).alias("status"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("ambiguity", F.lit(0.0)).alias("ambiguity"))
+    rows = titles.select("title_id", "title", T.fold_title(F.coalesce("title", F.lit(""))).alias("f"))
+    items = catalog.select("item_id", "title", T.fold_title(F.coalesce("title", F.lit(""))).alias("f"))
+    def matches(key: str, name: str) -> DataFrame:
+        """How many items have a key, and the first of them."""
+        counts = items.groupBy(key).agg(F.count("*").alias(f"{name}_n"))
+        few = items.withColumn("p", F.row_number().over(W.partitionBy(key).orderBy("item_id"))).where(F.col("p") <= max(k, 2))
+        return counts.join(few.groupBy(key).agg(F.array_sort(F.collect_list("item_id")).alias(f"{name}_ids")), key)
+
+    rows = rows.join(matches("title", "exact"), "title", "left").join(matches("f", "flat").where("f != ''"), "f", "left")
+    settled = F.when(F.col("f") == "", "ungrounded").when(F.col("exact_n") == 1, "exact").when(F.col("exact_n") > 1, "ambiguous").when(F.col("flat_n") == 1, "normalized_exact").when(F.col("flat_n") > 1, "ambiguous")
+    rows = rows.withColumn("settled", settled)
+    wanted = (rows if rank_all else rows.where("settled is null")).select("f").distinct()
+    near = similarity.nearest_titles(wanted, items.select("item_id", F.col("f").alias("name")), max(k, 2))
+    own = F.when(F.col("exact_n") >= 1, F.col("exact_ids")).otherwise(F.col("flat_ids"))
+    listed = F.transform(F.coalesce(own, F.array().cast("array<string>")), lambda i: F.struct(i.alias("item_id"), F.lit(1.0).alias("score")))
+    none = F.array().cast("array<struct<item_id:string,score:double>>")
+    found = rows.join(near, "f", "left").withColumn("c", F.coalesce("near", F.when((F.col("f") == "") | F.lit(rank_all), none).otherwise(listed)))
+    top, second = F.get("c", F.lit(0))["score"], F.get("c", F.lit(1))["score"]
+    status = F.coalesce("settled", F.when(F.coalesce(top, F.lit(0.0)) < threshold, "ungrounded").when(top - second <= margin, "ambiguous").otherwise("fuzzy"))
+    found = found.withColumn("status", status)
+    item = F.when(F.col("status") == "exact", F.get("exact_ids", F.lit(0))).when(F.col("status") == "normalized_exact", F.get("flat_ids", F.lit(0))).when(F.col("status") == "fuzzy", F.get("c", F.lit(0))["item_id"])
+    score = F.when(F.col("status") == "exact", 1.0).when(F.col("status") == "normalized_exact", 0.98).when(F.col("status") == "fuzzy", top).otherwise(0.0)
+    ambiguity = F.when(second.isNull(), 0.0).otherwise(1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), top - second)))
+    return found.select(
+        "title_id", item.alias("item_id"), "status", score.alias("score"), ambiguity.alias("ambiguity"), second.alias("second_score"), F.slice("c", 1, k).alias("candidates")
+    )
+
+
+def catalog_candidates(titles: DataFrame, catalog: DataFrame, k: int = 3, prefilter: int = 500) -> DataFrame:
+    """title_id, rank, item_id, score: the ``k`` items most like a title, for looking into failures.
+
+    Items are ordered by the common characters whatever their order (quick ratio); of the best 20 * ``k``, 50 at least, the matching-block ratio decides. Ties
+    go to the more popular item, then to the smaller item_id. With more than ``prefilter`` items only those that share a word are
+    looked at. Titles and items without words have no rows. ``catalog``: item_id, title, popularity.
+    """
+    rows = titles.select("title_id", T.fold_title(F.coalesce("title", F.lit(""))).alias("f")).where("f != ''")
+    items = catalog.select("item_id", F.coalesce("popularity", F.lit(0)).cast("long").alias("popularity"), T.fold_title(F.coalesce("title", F.lit(""))).alias("name")).where("name != ''")
+    shared = catalog.limit(prefilter + 1).count() > prefilter
+    short = similarity.quick_shortlist(rows.select("f").distinct(), items, max(20 * k, 50), shared)
+    order = W.partitionBy("f").orderBy(F.desc("score"), F.desc("popularity"), "item_id")
+    best = similarity.with_ratio(short).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return rows.join(best, "f").select("title_id", "rank", "item_id", "score")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators import audit, candidates, grounding, metrics, mock, parsing
-from larkspur.plans.data import ITEMS, examples
+from larkspur.plans.data import ITEMS, examples, train_popularity
 from larkspur.plans.ranking import CAND, PRED, predicted
 from larkspur.sources import views
 
@@ -64,7 +64,13 @@ def ground_blocked(spark, sf_dir):
 
 @query("ground_fuzzy")
 def ground_fuzzy(spark, sf_dir):
-    return grounding.ground_fuzzy(titles(spark, sf_dir), views.items(spark, sf_dir))
+    return grounding.ground_fuzzy(titles(spark, sf_dir), views.items(spark, sf_dir)).select("title_id", "item_id", "status", "score", "ambiguity")
+
+
+@query("grounding_candidates")
+def grounding_candidates(spark, sf_dir):
+    items = views.items(spark, sf_dir).join(train_popularity(spark, sf_dir).select("item_id", "popularity"), "item_id", "left")
+    return grounding.catalog_candidates(titles(spark, sf_dir), items)
 
 
 def answers(spark, sf_dir) -> DataFrame:
