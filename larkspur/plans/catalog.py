@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.plans import baselines, confidence, data, enriched, ranking, records, text
+from larkspur.plans import baselines, confidence, data, enriched, fusion, ranking, records, retrieval, text
 
-MODULES = [data, ranking, confidence, text, enriched, baselines, records]
+MODULES = [data, ranking, confidence, text, enriched, baselines, records, retrieval, fusion]
 DIGITS = 11
 #: The fractional columns of each query that has SQL.
 FRACTIONS = {
@@ -35,6 +35,10 @@ FRACTIONS = {
     "exposure_scores": ("estimate", "echo", "gain", "risk", "score"),
     "fusion_order": ("fusion",),
     "ground_titles": ("score",),
+    "fusion_replay": ("recall", "mrr", "ndcg", "fallback_ndcg", "harmful_rate"),
+    "gate_replay": ("recall", "mrr", "ndcg", "fallback_ndcg", "harmful_rate"),
+    "replay_by_seed": ("override_rate", "recall", "mrr", "ndcg", "mean_confidence", "ece", "brier", "tail_recall", "head_recall"),
+    "replay_merged": ("override_rate", "recall", "mrr", "ndcg", "mean_confidence", "ece", "brier", "tail_recall", "head_recall"),
     "histogram_calibration": ("calibrated",),
     "latency_percentiles": ("total", "p50", "p95"),
     "long_tail": ("hit_rate", "bucket_coverage"),
