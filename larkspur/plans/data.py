@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
 from larkspur.operators import filters, popularity, splits
-from larkspur.sources import views
+from larkspur.sources import atomic, views
 
 INTER = """inter AS (SELECT CAST(o_custkey AS VARCHAR) AS user_id, CAST(l_partkey AS VARCHAR) AS item_id, CAST(epoch(o_orderdate) AS DOUBLE) AS ts,
   CAST(l_quantity AS DOUBLE) AS rating, l_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""
@@ -208,3 +208,16 @@ def sequence_alignment(spark, sf_dir):
     return both.agg(
         F.count("*").alias("n"), F.count_if(F.size("history") != F.col("idx")).alias("misplaced"), F.count_if(F.col("ts_before") > F.col("ts")).alias("late"), F.count_if(F.col("split") == "test").alias("tests")
     )
+
+
+@query("atomic_interactions", f"""WITH {EX}, m AS (SELECT user_id, max(idx) AS at_most FROM ex WHERE split = 'train' GROUP BY user_id)
+  SELECT 'train' AS split, user_id, item_id, ts AS timestamp, CAST(idx AS INTEGER) AS place FROM seq JOIN m USING (user_id) WHERE idx <= at_most UNION ALL SELECT split, user_id, target, ts, CAST(idx AS INTEGER) FROM ex WHERE split IN ('valid', 'test')""")
+def atomic_interactions(spark, sf_dir):
+    timeline = splits.timeline(views.interactions(spark, sf_dir))
+    return atomic.interaction_rows(examples(spark, sf_dir), timeline).select("split", "user_id", "item_id", "timestamp", F.col("place").cast("int").alias("place"))
+
+
+@query("sequence_rows", f"""WITH {EX} SELECT split, user_id, target AS item_id, array_to_string(history[greatest(len(history) - 49, 1):], ' ') AS item_id_list, ts AS timestamp FROM ex WHERE split IS NOT NULL AND len(history) > 0""")
+def sequence_rows(spark, sf_dir):
+    rows = atomic.sequence_rows(examples(spark, sf_dir), splits.timeline(views.interactions(spark, sf_dir)))
+    return rows.withColumn("item_id_list", F.array_join("item_id_list", " "))
