@@ -7,9 +7,9 @@ good documents". Levels are tested from lenient to strict up to the first that f
 no correction within), at a level divided by the number of strata and the pool (Bonferroni): with probability 1 - ``delta``
 all guarantees hold at once.
 
-A stratum with too few labels to certify any level takes the level certified for the pool of all strata: its
-guarantee is then for good documents of all languages together, not for that stratum (``certified`` tells which). If
-the pool has too few as well, only the base rules drop.
+A stratum with too few labels to certify any level has no level: only the base rules drop its documents. With
+``lend_pool`` it takes the level certified for the pool of all strata; its guarantee is then for good documents of all
+languages together, not for that stratum (``certified`` tells which).
 """
 
 from __future__ import annotations
@@ -101,7 +101,7 @@ def controlled_levels(labelled: DataFrame, risk: float = RISK, delta: float = DE
     return each.where(tail <= F.col("alpha")).groupBy("stratum").agg(F.min("level").alias("level"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, lend_pool: bool = False) -> DataFrame:
     """Statistics, base_failed, kept, the rules that dropped a document, its level, and whether that is ``certified`` for its stratum.
 
     ``docs``: doc_id, text, lang; ``labels``: doc_id, quality (1 good). Null and empty texts
@@ -115,7 +115,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta:
     levels = stored(controlled_levels(stats.where("not base_failed").join(good, "doc_id", "left_semi"), risk, delta))
     own = levels.where("stratum is not null").withColumnRenamed("level", "own")
     pool = levels.where("stratum is null").agg(F.max("level").alias("pool"))  # one row
-    judged = stats.join(own, "stratum", "left").join(pool, F.lit(True)).withColumn("level", F.coalesce("own", "pool"))
+    judged = stats.join(own, "stratum", "left").join(pool, F.lit(True)).withColumn("level", F.coalesce("own", "pool") if lend_pool else F.col("own"))
     over = F.array_compact(F.array(*(F.when(passed(F.col("level"), rule), F.lit(rule)) for rule in GRID)))
     return judged.select(
         *stats.columns, "level", F.col("own").isNotNull().alias("certified"), over.alias("dropped_by"), (~F.col("base_failed") & (F.size(over) == 0)).alias("kept")

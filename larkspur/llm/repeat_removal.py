@@ -208,6 +208,8 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, keep: str = "none")
     ``keep``: "none" covers every copy, "first" leaves the first (by doc_id and place).
     """
     runs = stored(anchors(rows, length))
+    if keep == "first":  # repeated rows share their rid; one of them stands for all (see ``cut_repeats``)
+        runs = runs.dropDuplicates(["rid", "first"])
     copies = runs.groupBy("h", "c", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "rid", "first")).alias("lead"))
     kinds = copies.groupBy("h").agg(F.count("*").alias("kinds"), F.max("copies").alias("most")).where("kinds > 1 or most > 1")
     judged = stored(
@@ -218,7 +220,8 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, keep: str = "none")
     whole = judged.where("copies > 1") if keep == "none" else judged.where("copies > 1 and not is_lead")
     whole = whole.select("rid", F.col("first").alias("a"), (F.col("first") + F.col("n") - 1 + length).alias("b"))
     open_runs = judged.where("kinds > 1 and (copies = 1 or is_lead)")
-    sent = stored(windows_of(rows, open_runs, length))
+    sent = windows_of(rows, open_runs, length)
+    sent = stored(sent.dropDuplicates(["rid", "first", "h", "w2"]) if keep == "first" else sent)
     crowded = sent.where("bytes is null").select(F.col("h").alias("w"), "w2", "doc_id", "rid", "first")
     leads = crowded.groupBy("w", "w2").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "rid", "first")).alias("lead")).where("copies > 1")
     single = crowded.join(leads, ["w", "w2"])
@@ -306,7 +309,8 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", with_
 
     Texts are judged as UTF-8 bytes, null as empty; matches never cross documents; texts shorter
     than ``length`` are whole. Repeated rows are copies of each other like any others,
-    even with one doc_id. Empty tables give empty results; other columns are left out.
+    even with one doc_id: with ``keep="first"`` one of them is judged against the other documents and the rest
+    goes. Equal windows are told by 128-bit digests. Empty tables give empty results; other columns are left out.
     """
     rows = identified(docs)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")
@@ -335,7 +339,22 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", with_
     with shuffle_cleanup(docs.sparkSession):
         found = stored(repeated_windows(rows, length, keep))
     spans = found.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return rows.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(lean(run), schema)
+    joined = rows.join(spans, "rid", "left").select("doc_id", "text", "rid", "spans")
+    if keep == "first":
+        joined = _one_of_repeated(joined, length)
+    return joined.select("doc_id", "text", "spans").mapInArrow(lean(run), schema)
+
+
+def _one_of_repeated(rows: DataFrame, length: int) -> DataFrame:
+    """``rows`` (doc_id, text, rid, spans), where of rows with one rid all but one have a span over their whole text, if it is long enough."""
+    again = rows.groupBy("rid").agg(F.count("*").alias("n")).where("n > 1")
+    lone = rows.join(again, "rid", "left_anti")
+    # equal rows are one before they are shuffled, with their number; all but the first are dealt out again afterwards
+    one = rows.join(again.select("rid"), "rid", "left_semi").groupBy("rid").agg(*(F.first(c).alias(c) for c in ("doc_id", "text", "spans")), F.count("*").alias("n"))
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    whole = F.when(size >= length, F.array(F.struct(F.lit(0).cast("long").alias("a"), size.alias("b"))))
+    others = one.withColumn("spans", whole).withColumn("k", F.explode(F.sequence(F.lit(2).cast("long"), F.col("n"))))
+    return lone.unionByName(one.select(lone.columns)).unionByName(others.select(lone.columns))
 
 
 def op1_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,6 +85,20 @@ def test_repeats_keep_first(spark):
     assert got == {1: ("x" + text).encode(), 2: b"y", 3: b"short"}
 
 
+def test_keep_first_of_repeated_rows(spark):
+    """Of repeated rows one stays whole, also where another document holds their text; a copy that is cut elsewhere stays nowhere else."""
+    rng = random.Random(2)
+    t = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    cut = lambda rows: sorted((r.doc_id, r.n_removed, r.kept) for r in repeat_removal.cut_repeats(docs(spark, rows), keep="first", with_bytes=True).collect())
+    assert cut([(1, t), (1, t), (2, "x" + t)]) == [(1, 0, t.encode()), (1, 900, b""), (2, 900, b"x")]
+    assert cut([(1, t), (1, t), (1, t)]) == [(1, 0, t.encode()), (1, 900, b""), (1, 900, b"")]
+    assert cut([(1, t), (1, t), (2, t[:600] + "zz")]) == [(1, 0, t.encode()), (1, 900, b""), (2, 600, b"zz")]
+    got = [r for r in repeat_removal.cut_repeats(docs(spark, [(5, t), (5, t), (2, t[100:]), (7, "short"), (7, "short"), (None, None), (None, None)]), keep="first", with_bytes=True).collect()]
+    assert sorted((str(r.doc_id), r.n_removed, r.kept) for r in got) == [
+        ("2", 0, t[100:].encode()), ("5", 800, t[:100].encode()), ("5", 900, b""), ("7", 0, b"short"), ("7", 0, b"short"), ("None", 0, b""), ("None", 0, b"")
+    ]
+
+
 def near_brute(rows):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
@@ -256,7 +270,7 @@ def test_text_stats_and_bounds(spark):
         assert r.p == pytest.approx(sum(comb(r.n, j) * 0.005**j * 0.995 ** (r.n - j) for j in range(r.k + 1)), rel=1e-9)
 
 
-def quality_brute(rows, good, risk, delta):
+def quality_brute(rows, good, risk, delta, lend_pool):
     """Levels by stratum and pool, and the kept documents, from the rows' statistics, with exact fractions of the binomial sum."""
     from math import comb
 
@@ -274,7 +288,7 @@ def quality_brute(rows, good, risk, delta):
             if not n or sum(comb(n, j) * risk**j * (1 - risk) ** (n - j) for j in range(k + 1)) > delta / len(groups):
                 break
             levels[s] = t
-    kept = {r.doc_id for r in rows if not r.base_failed and not ((t := levels.get(r.stratum, levels.get(None))) is not None and over(r, t))}
+    kept = {r.doc_id for r in rows if not r.base_failed and not ((t := levels.get(r.stratum, levels.get(None) if lend_pool else None)) is not None and over(r, t))}
     return levels, kept
 
 
@@ -289,9 +303,11 @@ def test_certified_cutoffs(spark):
     rows += [(900, None, "en"), (901, "", None), (5, rows[5][1], "en")]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS level", "2 AS own", "3 AS n")
     labels = spark.createDataFrame([(i, 1) for i in range(800)] + [(7, 1), (8, 0)], "doc_id long, quality int")
-    for risk in (0.01, 0.03, 0.1, 0.4):
-        got = quality_rules.quality_rules(table, labels, risk, 0.05).collect()
-        levels, kept = quality_brute(got, set(range(800)), risk, 0.05)
+    for risk, lend_pool in ((0.01, False), (0.01, True), (0.03, False), (0.03, True), (0.1, True), (0.4, False)):
+        got = quality_rules.quality_rules(table, labels, risk, 0.05, lend_pool).collect()
+        levels, kept = quality_brute(got, set(range(800)), risk, 0.05, lend_pool)
+        if not lend_pool:  # a stratum without a guarantee loses nothing but what the base rules drop
+            assert all(r.level is None and r.kept != r.base_failed for r in got if not r.certified)
         assert len(got) == len(rows) and {r.doc_id for r in got if r.kept} == kept
         assert {r.stratum: r.level for r in got if r.certified} == {s: t for s, t in levels.items() if s is not None}
     none = quality_rules.quality_rules(table, labels.where("false")).collect()
