@@ -69,3 +69,41 @@ def listwise_panel(rows: DataFrame, size: int = 12) -> DataFrame:
     rows = rows.withColumn("part", F.when(is_target, 0).when(F.col("top") <= size // 2 - F.col("mine"), 1).otherwise(2))
     order = W.partitionBy("example_id").orderBy("part", F.when(F.col("part") == 1, F.col("top")).otherwise(F.col("low")))
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size).drop("mine", "top", "low", "part")
+
+
+MOST_ITEMS = 200_000  # of a catalog that every task holds
+
+
+def attached(examples: DataFrame, items: DataFrame, size: int | None = None, seed: int = 13, include_history: bool = False) -> DataFrame:
+    """``examples`` (example_id, target, history, ...) with sorted ``candidates``: the target and ``size`` - 1 others, all others if it is null.
+
+    The others are the first of a Mersenne-Twister shuffle seeded by sha256(seed:example_id), of the sorted catalog without the history
+    (unless ``include_history``) and the target: the same in any partitioning. The catalog (distinct, MOST_ITEMS at most) goes to every
+    task; use ``drawn`` or ``hash_sample`` for larger ones.
+    """
+    import hashlib
+    import random
+
+    import pandas as pd
+
+    if size is not None and size < 1:
+        raise ValueError("a sample needs one candidate at least")
+    known = [r[0] for r in items.select("item_id").where("item_id is not null").distinct().limit(MOST_ITEMS + 1).collect()]
+    if len(known) > MOST_ITEMS:
+        raise ValueError(f"more than {MOST_ITEMS} items")
+    catalog = sorted(known)
+
+    def pick(frames):
+        for frame in frames:
+            out = []
+            for example_id, target, history in zip(frame["example_id"], frame["target"], frame["history"], strict=True):
+                past = set() if include_history or history is None else set(history)
+                others = [i for i in catalog if i not in past and i != target]
+                if size is not None:
+                    random.Random(int(hashlib.sha256(f"{seed}:{example_id}".encode()).hexdigest()[:16], 16)).shuffle(others)
+                    others = others[: size - 1]
+                out.append(sorted({*others, target}))
+            yield pd.DataFrame({"example_id": frame["example_id"], "candidates": out})
+
+    found = examples.select("example_id", "target", "history").mapInPandas(pick, "example_id string, candidates array<string>")
+    return examples.join(found, "example_id")

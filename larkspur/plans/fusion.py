@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators import fusion_grid, mock, popularity, replay
+from larkspur.operators import calibrator, fusion_grid, mock, popularity, replay
 from larkspur.operators.rounds import checkpointed
 from larkspur.plans.confidence import PANEL, _mm, _panel
-from larkspur.plans.data import train_popularity
+from larkspur.plans.data import examples, train_popularity
 from larkspur.plans.ranking import BUCKET, PRED, predicted
 
 QUERIES, SQL = {}, {}
@@ -123,3 +123,37 @@ def replay_merged(spark, sf_dir):
     """A state is written for each seed; the states are read again and merged."""
     states = checkpointed(replay.partial_state(replay_rows(spark, sf_dir), ["seed", "variant"]))
     return _summary(replay.merged_state(states, ["variant"]))
+
+
+FEATURES = ["confidence", "place_in_fallback", "same_top", "own_popularity", "fallback_popularity", "history_length"]
+
+
+def override_rows(spark, sf_dir) -> DataFrame:
+    """The ranking by moves as a challenger of the one by popularity: features, ndcg of both, and which of them is better."""
+    rows = replay_rows(spark, sf_dir)
+    known = train_popularity(spark, sf_dir).select("item_id", F.log1p("popularity").alias("lp"))
+    a = rows.where("variant = 'markov'").select("example_id", F.col("predicted").alias("own"), F.col("ndcg").alias("ndcg_after"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    b = rows.where("variant = 'popularity'").select("example_id", F.col("predicted").alias("fb"), F.col("ndcg").alias("ndcg_before"))
+    both = a.join(b, "example_id").withColumn("one", F.get("own", F.lit(0))).withColumn("two", F.get("fb", F.lit(0)))
+    both = both.join(known.select(F.col("item_id").alias("one"), F.col("lp").alias("own_popularity")), "one").join(known.select(F.col("item_id").alias("two"), F.col("lp").alias("fallback_popularity")), "two")
+    length = examples(spark, sf_dir).where("split = 'test'").select("example_id", F.size("history").cast("double").alias("history_length"))
+    pack = mock.draw("pack", 3)
+    d = F.col("ndcg_after") - F.col("ndcg_before")
+    return both.join(length, "example_id").select(
+        "example_id", F.when(pack == 0, "train").when(pack == 1, "validation").otherwise("test").alias("pack"), "confidence", "own_popularity", "fallback_popularity", "history_length",
+        F.coalesce(F.nullif(F.array_position("fb", F.col("one")), F.lit(0)), F.lit(999)).cast("double").alias("place_in_fallback"), (F.col("one") == F.col("two")).cast("double").alias("same_top"),
+        "ndcg_before", "ndcg_after", (d > 1e-14).cast("int").alias("improves"), (d < -1e-14).cast("int").alias("harms"),
+    )
+
+
+@query("override_replay")
+def override_replay(spark, sf_dir):
+    """Fitted on one third of the examples, thresholds from the second, replayed row by row on the last."""
+    rows = checkpointed(override_rows(spark, sf_dir))
+    pack = lambda name: rows.where(F.col("pack") == name)
+    bundle = calibrator.fit_bundle(pack("train"), pack("validation"), FEATURES)
+    grid = [0.05, 0.1, 0.2, 0.3, 0.4, 0.5]
+    point = calibrator.chosen_thresholds(bundle.predict(pack("validation")), grid, grid, 0.35, 5)
+    return calibrator.replayed(bundle.predict(pack("test")), point).select(
+        "example_id", F.round("p_improve", 6).alias("p_improve"), F.round("p_harm", 6).alias("p_harm"), "overrides", "ndcg"
+    )
