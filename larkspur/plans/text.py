@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators import audit, candidates, grounding, metrics, mock, parsing
+from larkspur.operators import audit, failures, grounding, metrics, mock, parsing
+from larkspur.operators.rounds import checkpointed
 from larkspur.plans.data import ITEMS, examples, train_popularity
 from larkspur.plans.ranking import CAND, PRED, predicted
 from larkspur.sources import views
@@ -73,6 +74,29 @@ def grounding_candidates(spark, sf_dir):
     return grounding.catalog_candidates(titles(spark, sf_dir), items)
 
 
+def _failures(spark, sf_dir) -> DataFrame:
+    """Failures of ``ground_fuzzy``; the item that a title was made from is its target, the best candidate's score its confidence."""
+    items = views.items(spark, sf_dir).join(train_popularity(spark, sf_dir).select("item_id", "popularity"), "item_id", "left")
+    asked = titles(spark, sf_dir)
+    found = grounding.ground_fuzzy(asked, items).select("title_id", "status", "item_id", F.get("candidates", F.lit(0))["score"].alias("confidence"))
+    rows = asked.join(found, "title_id").join(items.select(F.col("item_id").alias("title_id"), F.col("title").alias("target_title")), "title_id", "left")
+    return failures.classified(checkpointed(rows), items)
+
+
+@query("grounding_failures")
+def grounding_failures(spark, sf_dir):
+    rows = _failures(spark, sf_dir)
+    return rows.select("title_id", "status", "top_score", "second_score", "margin", "target_ratio", F.array_join("categories", ",").alias("categories"), F.array_join("actions", ",").alias("actions"))
+
+
+@query("catalog_summary", f"""WITH {ITEMS}, c AS (SELECT regexp_replace(trim(regexp_replace(replace(lower(title), '&', ' and '), '[^a-z0-9_]+', ' ', 'g')), '^(a|an|the) ', '') AS f, title, category FROM items), g AS (SELECT count(*) AS c FROM c WHERE f <> '' GROUP BY f HAVING count(*) > 1)
+  SELECT (SELECT count(*) FROM c) AS items, (SELECT count(*) FROM c WHERE trim(title) = '') AS empty_titles, (SELECT count(*) FROM g) AS duplicate_groups, (SELECT coalesce(sum(c), 0)::BIGINT FROM g) AS duplicate_items,
+    (SELECT coalesce(sum(c), 0) FROM g) / (SELECT count(*) FROM c)::DOUBLE AS duplicate_share, (SELECT count(DISTINCT category) FROM c) AS buckets""")
+def catalog_summary(spark, sf_dir):
+    items = views.items(spark, sf_dir).withColumn("bucket", F.col("category"))
+    return failures.catalog_summary(items).withColumn("buckets", F.size("buckets").cast("long"))
+
+
 def answers(spark, sf_dir) -> DataFrame:
     """Mock answers in five styles, by the example's hash."""
     ex = examples(spark, sf_dir).where("split = 'test'").select("example_id", "target")
