@@ -248,14 +248,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text).
 
     Null texts and texts without words have no shingles and stand alone, kept. Repeated rows
-    share their doc_id, set and component. A component's least doc_id is kept. An empty
-    table gives an empty result; extra columns are left out.
+    share their doc_id, set and component. A component's least doc_id is kept. Rows without doc_id are linked with
+    nothing: their component_id is null, and they are kept. An empty table gives an empty result; extra columns are left out.
     """
     spark = docs.sparkSession
     with shuffle_cleanup(spark):
         sketched = stored(sketch(docs))
         classes = stored(
-            sketched.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
+            sketched.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
         )
         bands = band_rows(classes)
         sizes = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -276,8 +276,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             links = stored(new if links is None else links.unionByName(new))
             labels = components(links)
         names = sketched.join(classes.select("set_a", "set_b", "id"), ["set_a", "set_b"], "left")
-        result = names.join(labels, "id", "left").withColumn("component_id", F.coalesce("label", "id", "doc_id"))
-        return result.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+        result = names.join(labels, "id", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "id", "doc_id")))
+        return result.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
