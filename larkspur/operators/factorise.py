@@ -102,7 +102,8 @@ def fit(pairs: DataFrame, items: DataFrame, factors: int = FACTORS, epochs: int
         for s in range(parts):
             task = F.when(F.col("kind") == "i", F.pmod(F.col("block") - s, F.lit(parts))).otherwise(F.col("block"))
             now = packed.where(F.col("other") == F.pmod(F.col("block") + s, F.lit(parts)))
-            state = state.unionByName(now).groupBy(task.alias("task")).applyInArrow(turn, _SCHEMA)
+            dealt = state.unionByName(now).withColumn("task", task).repartition(parts, "task")
+            state = dealt.groupBy("task").applyInArrow(lambda t: turn(t.drop(["task"])), _SCHEMA)
         state = checkpointed(state)
 
     def unpack(t: pa.Table) -> pa.Table:

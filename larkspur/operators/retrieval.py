@@ -103,7 +103,9 @@ def top_items(asked: DataFrame, seeds: DataFrame, found: Index, catalog: DataFra
     wanted = rows.select("q_block", F.explode("essential").alias("t")).distinct()
     meetings = wanted.join(found.maxima.select("t", "block", "part"), "t").select("q_block", "block", "part").distinct()
     packed = rows.groupBy("q_block").agg(F.collect_list(F.struct("example_id", "floor", "terms")).alias("examples"))
-    met = meetings.join(packed, "q_block").join(found.blocks, ["block", "part"]).select("examples", "items")
+    # so many tasks whatever the bytes: a meeting is little to read and long to work on
+    tasks = int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = meetings.join(packed, "q_block").join(found.blocks, ["block", "part"]).repartition(tasks, "q_block", "block", "part").select("examples", "items")
 
     most = found.most
 

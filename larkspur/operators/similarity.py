@@ -84,7 +84,10 @@ def meetings(titles: DataFrame, items: DataFrame) -> DataFrame:
     asked = dealt(titles, "f", ["f"], TITLE_BLOCK).groupBy(F.col("len").alias("t_len"), F.col("sub").alias("t_sub")).agg(F.collect_list("f").alias("t"))
     asked = asked.join(F.broadcast(lengths), F.lit(True)).withColumn("l", F.explode("lengths")).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("l.subs") - 1)))
     met = asked.select("t_len", "t_sub", "t", F.col("l.len").alias("len"), "sub").join(blocks, ["len", "sub"])
-    return met.repartition("t_len", "t_sub").sortWithinPartitions("t_len", "t_sub", F.abs(F.col("len") - F.col("t_len")), "len", "sub").select("t_len", "t_sub", "len", "t", "names")
+    # so many tasks whatever the bytes: a meeting is little to read and long to work on. The key is hashed once more, as
+    # rows that lie by t_len and t_sub already wouldn't be dealt again
+    tasks = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(tasks, F.xxhash64("t_len", "t_sub")).sortWithinPartitions("t_len", "t_sub", F.abs(F.col("len") - F.col("t_len")), "len", "sub").select("t_len", "t_sub", "len", "t", "names")
 
 
 def nearest_titles(titles: DataFrame, items: DataFrame, k: int) -> DataFrame:

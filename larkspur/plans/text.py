@@ -65,7 +65,7 @@ def ground_blocked(spark, sf_dir):
 
 @query("ground_fuzzy")
 def ground_fuzzy(spark, sf_dir):
-    return grounding.ground_fuzzy(titles(spark, sf_dir), views.items(spark, sf_dir)).select("title_id", "item_id", "status", "score", "ambiguity")
+    return grounding.ground_fuzzy(titles(spark, sf_dir), views.items(spark, sf_dir), k=2).select("title_id", "item_id", "status", "score", "ambiguity")
 
 
 @query("grounding_candidates")
@@ -78,7 +78,7 @@ def _failures(spark, sf_dir) -> DataFrame:
     """Failures of ``ground_fuzzy``; the item that a title was made from is its target, the best candidate's score its confidence."""
     items = views.items(spark, sf_dir).join(train_popularity(spark, sf_dir).select("item_id", "popularity"), "item_id", "left")
     asked = titles(spark, sf_dir)
-    found = grounding.ground_fuzzy(asked, items).select("title_id", "status", "item_id", F.get("candidates", F.lit(0))["score"].alias("confidence"))
+    found = grounding.ground_fuzzy(asked, items, k=2).select("title_id", "status", "item_id", F.get("candidates", F.lit(0))["score"].alias("confidence"))
     rows = asked.join(found, "title_id").join(items.select(F.col("item_id").alias("title_id"), F.col("title").alias("target_title")), "title_id", "left")
     return failures.classified(checkpointed(rows), items)
 
