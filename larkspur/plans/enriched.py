@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.operators import enrich, mock
 from larkspur.plans.confidence import CONF, PANEL, rows
 from larkspur.plans.data import EX, ITEMS, POP, examples
-from larkspur.plans.ranking import BUCKET, buckets, scored
+from larkspur.plans.ranking import BUCKET, CAND, buckets, scored
 from larkspur.sources import sinks, views
 
 QUERIES, SQL = {}, {}
@@ -47,9 +47,13 @@ def candidate_panel(spark, sf_dir):
     return enrich.panel(ranked.join(buckets(spark, sf_dir).select("item_id", "popularity", "bucket"), "item_id")).select("example_id", "item_id", "panel_place")
 
 
-@query("token_candidates")
+@query("token_candidates", f"""{CAND}, tk AS (SELECT item_id, unnest(list_distinct(list_filter(string_split_regex(lower(title), '[^a-z0-9_]+'), lambda x: length(x) >= 3))) AS t FROM items),
+  hw AS (SELECT example_id, unnest(history) AS item_id, unnest(range(1, len(history) + 1)) AS p, len(history) AS m FROM test), w AS (SELECT example_id, t, sum(p / m::DOUBLE) AS w FROM hw JOIN tk USING (item_id) GROUP BY ALL),
+  s AS (SELECT example_id, item_id, round(sum(w), 9) AS score FROM w JOIN tk USING (t) GROUP BY ALL),
+  o AS (SELECT example_id, s.item_id, score, row_number() OVER (PARTITION BY example_id ORDER BY score DESC, popularity DESC, title, s.item_id) AS place FROM s JOIN test USING (example_id) JOIN pops ON pops.item_id = s.item_id WHERE s.item_id <> target AND NOT list_contains(history, s.item_id))
+  SELECT example_id, item_id, score, CAST(place AS INTEGER) AS place FROM o WHERE place <= 20""")
 def token_candidates(spark, sf_dir):
-    return enrich.token_candidates(examples(spark, sf_dir).where("split = 'test'").withColumn("history", F.slice("history", F.greatest(F.size("history") - 5, F.lit(0)) + 1, 5)), catalog(spark, sf_dir))
+    return enrich.token_candidates(examples(spark, sf_dir).where("split = 'test'"), catalog(spark, sf_dir)).withColumn("score", F.round("score", 9))
 
 
 def _override(spark, sf_dir):
