@@ -252,6 +252,15 @@ def test_urls(spark):
     assert {r.verdict for r in no_rules.collect()} == {"allow"}
 
 
+def test_contract_rules(spark):
+    urls = ["s://net/de/", "s://a.net/de/8", "s://example.net/de/7", "s://example.net/de/8", "s://com/en/", "s://example.com/en/7", "s://org/es/1"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.url_filter(pages, url_filter.rule_table(spark)).collect()}
+    assert [got[i] for i in range(len(urls))] == [
+        ("net/de/", "allow"), ("net/de/", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("com/en/", "block"), ("example.com/en/7", "allow"), ("org/es/", "block"),
+    ]
+
+
 def test_text_stats_and_bounds(spark):
     rows = [*awkward(), (90, "a b c a b c d"), (91, "same\nsame\n\nother"), (92, "# $ % text | <b>")]
     for r in quality_rules.text_stats(docs(spark, rows)).collect():
