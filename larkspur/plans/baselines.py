@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import baselines, metrics
 from larkspur.plans.confidence import CONF, rows
-from larkspur.plans.data import EX, INTER, ITEMS, POP, examples, train_popularity
+from larkspur.plans.data import EX, INTER, ITEMS, POP, test_examples, train_popularity
 from larkspur.plans.ranking import CAND, POP_SCORE, PRED, predicted, scored
 from larkspur.sources import views
 
@@ -34,7 +34,7 @@ _ORDERED = "o AS MATERIALIZED (SELECT item_id, title, popularity, row_number() O
   b AS (SELECT example_id, coalesce(min(spot) FILTER (NOT list_contains(history, item_id)), 1) AS spot FROM t, o GROUP BY example_id)
   SELECT example_id, item_id, title, ln(1 + popularity) / ln(1 + (SELECT max(popularity) FROM o)) AS confidence FROM b JOIN o USING (spot)""")
 def popular_title(spark, sf_dir):
-    return baselines.popular_title(examples(spark, sf_dir).where("split = 'test'").select("example_id", "history"), _items(spark, sf_dir))
+    return baselines.popular_title(test_examples(spark, sf_dir).select("example_id", "history"), _items(spark, sf_dir))
 
 
 @query("ranked_title", f"""{PRED}, s AS (SELECT r.example_id, item_id, k, ln(1 + score) AS score FROM r JOIN test t USING (example_id) WHERE method = 'popularity' AND k % 3 <> 0 AND NOT list_contains(t.history, item_id)),
@@ -45,7 +45,7 @@ def ranked_title(spark, sf_dir):
     """Places 1, 2, 4, 5, ... of the popularity ranking as a ranking from outside, with each item repeated at its end."""
     ranked = baselines_rank(scored(spark, sf_dir, "popularity")).where("k % 3 != 0").select("example_id", F.col("k").alias("rank"), "item_id", F.log1p("score").alias("score"))
     ranked = ranked.unionByName(ranked.withColumn("rank", F.col("rank") + 1000))
-    return baselines.ranked_title(ranked, examples(spark, sf_dir).where("split = 'test'"), views.items(spark, sf_dir))
+    return baselines.ranked_title(ranked, test_examples(spark, sf_dir), views.items(spark, sf_dir))
 
 
 def baselines_rank(rows):

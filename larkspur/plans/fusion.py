@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from larkspur.operators import calibrator, fusion_grid, mock, popularity, replay
 from larkspur.operators.rounds import checkpointed
 from larkspur.plans.confidence import PANEL, _mm, _panel
-from larkspur.plans.data import examples, train_popularity
+from larkspur.plans.data import test_examples, train_popularity
 from larkspur.plans.ranking import BUCKET, PRED, predicted
 
 QUERIES, SQL = {}, {}
@@ -136,7 +136,7 @@ def override_rows(spark, sf_dir) -> DataFrame:
     b = rows.where("variant = 'popularity'").select("example_id", F.col("predicted").alias("fb"), F.col("ndcg").alias("ndcg_before"))
     both = a.join(b, "example_id").withColumn("one", F.get("own", F.lit(0))).withColumn("two", F.get("fb", F.lit(0)))
     both = both.join(known.select(F.col("item_id").alias("one"), F.col("lp").alias("own_popularity")), "one").join(known.select(F.col("item_id").alias("two"), F.col("lp").alias("fallback_popularity")), "two")
-    length = examples(spark, sf_dir).where("split = 'test'").select("example_id", F.size("history").cast("double").alias("history_length"))
+    length = test_examples(spark, sf_dir).select("example_id", F.size("history").cast("double").alias("history_length"))
     pack = mock.draw("pack", 3)
     d = F.col("ndcg_after") - F.col("ndcg_before")
     return both.join(length, "example_id").select(

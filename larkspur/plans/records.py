@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larkspur.operators import candidates as C
 from larkspur.operators import records
 from larkspur.plans.confidence import CONF, rows
-from larkspur.plans.data import EX, ITEMS, examples
+from larkspur.plans.data import EX, ITEMS, test_examples
 from larkspur.plans.ranking import BUCKET, CAND, POP_SCORE, buckets, scored, test_candidates
 from larkspur.sources import views
 
@@ -92,7 +92,7 @@ def filled_ranking(spark, sf_dir):
   SELECT avg(CASE WHEN f IS NULL THEN 0 ELSE 1 END) AS in_panel, avg(f) FILTER (answered) AS fallback_place, avg(coalesce(place, 999)) FILTER (answered) AS answer_place, avg(CASE WHEN place = 1 THEN 1 ELSE 0 END) FILTER (answered) AS top_hit FROM t""")
 def panel_stats(spark, sf_dir):
     panels = _placed(spark, sf_dir).where("at <= 15").select("example_id", "item_id", F.col("at").alias("place"), F.col("at").alias("fallback"), F.when(F.col("h") % 3 == 0, F.col("h").cast("double")).alias("score"))
-    return records.panel_stats(panels, examples(spark, sf_dir).where("split = 'test'"))
+    return records.panel_stats(panels, test_examples(spark, sf_dir))
 
 
 @query("labelled_panel", f"""{_PLACED} SELECT example_id, string_agg(chr(CAST(64 + spot AS INTEGER)) || '=' || item_id, ' ' ORDER BY spot) AS labels, string_agg(spot || '. ' || title, chr(10) ORDER BY spot) AS lines FROM p JOIN items USING (item_id) WHERE spot <= 15 GROUP BY example_id""")
@@ -112,7 +112,7 @@ def chat_rows(spark, sf_dir):
 @query("strict_enrichment", f"""WITH {EX}, {ITEMS}, t AS (SELECT * FROM ex WHERE split = 'test'), h AS (SELECT example_id, unnest(history) AS item_id, generate_subscripts(history, 1) AS spot FROM t),
   n AS (SELECT example_id, string_agg(title, '|' ORDER BY spot) AS titles FROM h JOIN items USING (item_id) GROUP BY example_id) SELECT t.example_id, title AS target_title, titles FROM t JOIN items ON item_id = target JOIN n ON n.example_id = t.example_id""")
 def strict_enrichment(spark, sf_dir):
-    out = records.strictly_enriched(examples(spark, sf_dir).where("split = 'test'"), views.items(spark, sf_dir))
+    out = records.strictly_enriched(test_examples(spark, sf_dir), views.items(spark, sf_dir))
     return out.select("example_id", "target_title", F.array_join("titles", "|").alias("titles"))
 
 
@@ -123,7 +123,7 @@ def strict_enrichment(spark, sf_dir):
     count(*) FILTER (place IS NOT NULL AND a.item_id <> target AND g % 101 >= 70) AS wrong_high
   FROM a JOIN b ON b.item_id = a.target LEFT JOIN p ON p.example_id = a.example_id AND p.item_id = a.item_id GROUP BY bucket""")
 def candidate_summary(spark, sf_dir):
-    drawn = test_candidates(spark, sf_dir).groupBy("example_id", "target", "history").agg(F.array_sort(F.collect_set("item_id")).alias("cands"))  # 31 at most
+    drawn = test_candidates(spark, sf_dir, listed=True).select("example_id", "target", "history", F.array_sort("candidates").alias("cands"))  # 31 at most
     g = C.hash_number(F.concat(F.lit("g:"), "example_id"))
     item = F.when(g % 4 == 1, F.element_at("history", -1)).when(g % 4 > 1, F.col("target"))
     answers = drawn.withColumn("g", g).withColumn("item_id", item)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import audit, failures, grounding, metrics, mock, parsing
 from larkspur.operators.rounds import checkpointed
-from larkspur.plans.data import ITEMS, examples, train_popularity
+from larkspur.plans.data import ITEMS, test_examples, train_popularity
 from larkspur.plans.ranking import CAND, PRED, predicted
 from larkspur.sources import views
 
@@ -99,7 +99,7 @@ def catalog_summary(spark, sf_dir):
 
 def answers(spark, sf_dir) -> DataFrame:
     """Mock answers in five styles, by the example's hash."""
-    ex = examples(spark, sf_dir).where("split = 'test'").select("example_id", "target")
+    ex = test_examples(spark, sf_dir).select("example_id", "target")
     kind, c = mock.draw("kind", 5), mock.draw("c", 101)
     body = F.concat(F.lit('{"title": "Item '), "target", F.lit('", "confidence": "'), c.cast("string"), F.lit('%", "answer": "Yes"}'))
     raw = (
@@ -119,7 +119,7 @@ def parse_observations(spark, sf_dir):
 @query("parse_rankings", f"""{CAND}, h AS (SELECT example_id, target, CAST(('0x' || substr(sha256('kind:' || example_id), 1, 8)) AS BIGINT) % 4 AS kind FROM test)
   SELECT example_id, CASE kind WHEN 1 THEN 'duplicate_label' WHEN 2 THEN 'unknown_label' WHEN 3 THEN 'unparsed' END AS error, CASE WHEN kind = 0 THEN target || ',x1' END AS items FROM h""")
 def parse_rankings(spark, sf_dir):
-    ex = examples(spark, sf_dir).where("split = 'test'").select("example_id", "target")
+    ex = test_examples(spark, sf_dir).select("example_id", "target")
     kind = mock.draw("kind", 4)
     answer = lambda a, b: F.lit(f'{{"ranking": [{{"label": "{a}", "score": 0.9}}, {{"label": "{b}", "score": 0.4}}]}}')
     raw = F.when(kind == 0, answer("A", "B")).when(kind == 1, answer("A", "A")).when(kind == 2, answer("A", "Z")).otherwise(F.lit("none"))
@@ -140,7 +140,7 @@ def artifact_check(spark, sf_dir):
     rankings = rankings.withColumn("example_id", F.when(F.col("u") % 7 == 0, F.concat(F.lit("x"), "example_id")).otherwise(F.col("example_id")))
     rankings = rankings.withColumn("items", F.when(F.col("u") % 13 == 0, F.array_append("items", "none")).otherwise(F.col("items")))
     rankings = rankings.unionByName(rankings.where("u % 11 = 0"))
-    inputs = examples(spark, sf_dir).where("split = 'test'").select("example_id", "history", user.alias("u"))
+    inputs = test_examples(spark, sf_dir).select("example_id", "history", user.alias("u"))
     inputs = inputs.withColumn("example_id", F.when(F.col("u") % 5 == 0, F.concat(F.lit("y"), "example_id")).otherwise(F.col("example_id")))
     return audit.artifact_check(rankings.select("example_id", "items"), inputs.select("example_id", "history"), views.items(spark, sf_dir))
 
