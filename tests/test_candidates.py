@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from larkspur.operators import candidates, splits
+from larkspur.operators import candidates, evidence, splits
 
 
 def test_drawn_against_plain_python(spark):
@@ -35,3 +35,14 @@ def test_held_out_is_the_test_part_of_leave_one_out(spark):
         whole = splits.leave_one_out(inter, least).where("split = 'test'")
         got = splits.held_out(inter, least).select(whole.columns)
         assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
+
+
+def test_repetition_makes_no_row_for_a_pair(spark):
+    items = spark.createDataFrame([("a", "red door x1", "C", "b"), ("b", "red lamp", "c", "B"), ("c", "blue sea", "d", "z")], "item_id string, title string, category string, brand string")
+    rows = spark.createDataFrame([("e", "a"), ("e", "b"), ("e", "new"), ("f", "a"), ("g", "c")], "example_id string, item_id string")
+    histories = spark.createDataFrame([("e", ["b", "gone"]), ("f", []), ("g", ["b"] * 60 + ["a"])], "example_id string, history array<string>")
+    df = evidence.repetition(rows, items, histories)
+    got = {(r.example_id, r.item_id): round(r.history_risk, 9) for r in df.collect()}
+    assert got == {("e", "a"): 0.42, ("e", "b"): 1.0, ("e", "new"): 0.0, ("f", "a"): 0.0, ("g", "c"): 0.0}
+    exploded = [line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate explode" in line]
+    assert len(exploded) == 1 and "history" in exploded[0]
