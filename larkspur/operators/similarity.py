@@ -140,6 +140,13 @@ def nearest_titles(titles: DataFrame, items: DataFrame, k: int) -> DataFrame:
     return out.select("f", F.slice(F.transform(merged, lambda x: F.struct(x["item_id"].alias("item_id"), (0.0 - x["s"]).alias("score"))), 1, k).alias("near"))
 
 
+def within_levels(found: DataFrame, by: list, most: int) -> DataFrame:
+    """The rows of ``found`` (f, n, ...) that can be among the ``most`` items of f: better levels (by the order ``by``) hold fewer than ``most`` of the ``n`` items each stands for."""
+    level = W.partitionBy("f").orderBy(*by)
+    sofar = F.sum("n").over(level.rangeBetween(W.unboundedPreceding, W.currentRow)) - F.sum("n").over(level.rangeBetween(W.currentRow, W.currentRow))
+    return found.withColumn("ahead", sofar).where(F.col("ahead") < most).drop("ahead")
+
+
 def quick_shortlist(titles: DataFrame, items: DataFrame, most: int, shared: bool) -> DataFrame:
     """(f, item_id, name, popularity): of each title the ``most`` items of best quick ratio, then popularity, then item_id; ``shared``: only those with a common word.
 
@@ -176,6 +183,66 @@ def quick_shortlist(titles: DataFrame, items: DataFrame, most: int, shared: bool
     return found.withColumn("p", F.row_number().over(order)).where(F.col("p") <= most).select("f", "item_id", "name", "popularity")
 
 
+def grams(text: str) -> dict[str, int]:
+    """Weights of a normalised text's parts: 4 for each token of two or more letters, 1 for each trigram (marked by #)."""
+    joined = text.replace(" ", "")
+    found = {"#" + joined[i : i + 3]: 1 for i in range(max(len(joined) - 2, 0))} or {"#" + joined: 1}
+    return found | {token: 4 for token in text.split(" ") if len(token) >= 2}
+
+
+def shared_parts(titles: DataFrame, items: DataFrame, most: int) -> DataFrame:
+    """(f, name, n, weight, gap): for each title the names that can hold its ``most`` items of greatest weight of shared ``grams``, then least difference in length.
+
+    ``titles``: f, all different. ``items``: name, all different, n (items of that name). No row for a pair is moved: blocks meet, and a meeting tells
+    only what its title's block hasn't seen bettered.
+    """
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, best = None, {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                if block != (row["t_len"], row["t_sub"]):
+                    block, best = (row["t_len"], row["t_sub"]), {f: [] for f in row["t"]}
+                titles, names = row["t"], [x["name"] for x in row["names"]]
+                counts = np.array([x["n"] for x in row["names"]])
+                gap, weights = abs(row["t_len"] - row["len"]), np.zeros((len(titles), len(names)), np.int32)
+                asked: dict[str, list[int]] = {}
+                held: dict[str, list[int]] = {}
+                for texts, places in ((titles, asked), (names, held)):
+                    for i, text in enumerate(texts):
+                        for g in grams(text):
+                            places.setdefault(g, []).append(i)
+                for g in asked.keys() & held.keys():
+                    weights[np.ix_(asked[g], held[g])] += 1 if g.startswith("#") else 4
+                out = []
+                for f, line in zip(titles, weights, strict=True):
+                    levels = best[f]
+                    full = sum(x[2] for x in levels) >= most
+                    good = np.flatnonzero((line > 0) & (line >= levels[-1][0]) if full else line > 0)
+                    if not len(good):
+                        continue
+                    if len(good) > most:
+                        good = good[line[good] >= np.partition(line[good], len(good) - most)[len(good) - most]]
+                    total = {(w, g): n for w, g, n in levels}
+                    for j in good:
+                        total[int(line[j]), gap] = total.get((int(line[j]), gap), 0) + int(counts[j])
+                    kept, have = [], 0
+                    for w, g in sorted(total, key=lambda x: (-x[0], x[1])):
+                        kept.append((w, g, total[w, g]))
+                        have += total[w, g]
+                        if have >= most:
+                            break
+                    best[f] = kept
+                    last = (-kept[-1][0], kept[-1][1])
+                    out += [(f, names[j], int(counts[j]), int(line[j]), gap) for j in good if have < most or (-int(line[j]), gap) <= last]
+                if out:
+                    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["f", "name", "n", "weight", "gap"])
+
+    found = meetings(titles, items.select("name", "n", F.col("name").alias("item_id"))).mapInArrow(search, "f string, name string, n long, weight long, gap int")
+    return within_levels(found, [F.desc("weight"), F.col("gap")], most)
+
+
 def with_ratio(pairs: DataFrame) -> DataFrame:
     """``pairs`` (f, item_id, name, popularity) with ``score``, their matching-block ratio."""
 

@@ -35,3 +35,23 @@ def test_overlaps_of_different_titles_alone(spark, monkeypatch):
     first = lambda name: min(i for i, x in items if x == name)
     assert got == {i: (first("red ring large"), "token_overlap") if x == "red ring" else (first("cold bolt promo"), "normalized") for i, x in titles}
     assert seen == [(1, 6)]
+
+
+def test_blocked_meets_each_text_once(spark, monkeypatch):
+    items, seen = catalog() + [("j1", ""), ("j2", "!"), ("j3", None), ("j4", "re")], counted(monkeypatch, similarity, "meetings")
+    monkeypatch.setattr(similarity, "ITEM_BLOCK", 2)
+    titles = [(f"t{n}", x) for n, x in enumerate(["red ring", "RED ring", "cold bolts promo", "", "re", None, "zzz"] * 3)]
+    flat = lambda x: x.lower().replace("!", "").strip()
+    want = set()
+    for i, t in titles:
+        rows = []
+        for item, x in items:
+            if t is not None and x is not None:
+                a, b = similarity.grams(flat(t)), similarity.grams(flat(x))
+                weight = sum(a[g] for g in a.keys() & b.keys())
+                if weight:
+                    rows.append((-weight, abs(len(flat(t)) - len(flat(x))), item))
+        want |= {(i, item, -w, place) for place, (w, _, item) in enumerate(sorted(rows)[:13], 1)}
+    got = grounding.blocked(spark.createDataFrame(titles, TITLES), spark.createDataFrame(items, ITEMS), 13).collect()
+    assert {(r.title_id, r.item_id, r.weight, r.place) for r in got} == want and len(got) == len(want)
+    assert seen == [(5, 8)]
