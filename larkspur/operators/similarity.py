@@ -93,9 +93,12 @@ def meetings(titles: DataFrame, items: DataFrame) -> DataFrame:
 def nearest_titles(titles: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """(f, near): of each title the ``k`` items of best ratio, best first, ties by item_id; items without words have ratio 0.
 
-    ``titles``: f, all different. ``items``: item_id, name.
+    ``titles``: f, all different. ``items``: item_id, name. Items of one name are compared once, under the least item_id: the ``k`` best
+    items have no more than the ``k`` best names, and of each name only the ``k`` least item_ids can be among them.
     """
-    with_words = items.where("name != ''")
+    with_words = items.where("name != ''").withColumn("n", F.row_number().over(W.partitionBy("name").orderBy("item_id"))).where(F.col("n") <= k)
+    named = with_words.groupBy("name").agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
+    names = named.select(F.col("ids")[0].alias("item_id"), "name")
     first = lambda rows, name: rows.orderBy("item_id").limit(k).agg(F.collect_list("item_id").alias(name))
     fill = first(items.where("name = ''"), "blank").join(F.broadcast(first(items, "any")), F.lit(True))  # one row
 
@@ -129,9 +132,11 @@ def nearest_titles(titles: DataFrame, items: DataFrame, k: int) -> DataFrame:
                     f, i, s = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(i, pa.string()), pa.array(s, pa.float64())], names=["f", "item_id", "score"])
 
-    found = meetings(titles.where("f != ''"), with_words).mapInArrow(search, "f string, item_id string, score double")
+    found = meetings(titles.where("f != ''"), names).mapInArrow(search, "f string, item_id string, score double")
     place = F.row_number().over(W.partitionBy("f").orderBy(F.desc("score"), "item_id"))
     found = found.withColumn("p", place).where(F.col("p") <= k)
+    found = found.join(named.withColumn("item_id", F.col("ids")[0]), "item_id").select("f", "score", F.explode("ids").alias("item_id"))
+    found = found.withColumn("p", place).where(F.col("p") <= k)
     near = found.groupBy("f").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "item_id"))), lambda x: F.struct(x["item_id"].alias("item_id"), (-x["s"]).alias("score"))).alias("near"))
     zeros = F.transform(F.when(F.col("f") == "", F.col("any")).otherwise(F.col("blank")), lambda i: F.struct(i.alias("item_id"), F.lit(0.0).alias("score")))
     none = F.array().cast("array<struct<item_id:string,score:double>>")

@@ -55,3 +55,12 @@ def test_blocked_meets_each_text_once(spark, monkeypatch):
     got = grounding.blocked(spark.createDataFrame(titles, TITLES), spark.createDataFrame(items, ITEMS), 13).collect()
     assert {(r.title_id, r.item_id, r.weight, r.place) for r in got} == want and len(got) == len(want)
     assert seen == [(5, 8)]
+
+
+def test_fuzzy_compares_each_name_once(spark, monkeypatch):
+    items, seen = catalog(), counted(monkeypatch, similarity, "meetings")
+    titles = [(f"t{n}", "red ringz large") for n in range(9)]
+    got = grounding.ground_fuzzy(spark.createDataFrame(titles, TITLES), spark.createDataFrame(items, ITEMS), k=12).collect()
+    ranked = sorted((-similarity.ratio("red ringz large", x), i) for i, x in items)[:12]
+    assert [[(c.item_id, c.score) for c in r.candidates] for r in got] == [[(i, -s) for s, i in ranked]] * 9
+    assert seen == [(1, 6)]
