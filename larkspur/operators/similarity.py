@@ -155,37 +155,69 @@ def within_levels(found: DataFrame, by: list, most: int) -> DataFrame:
 def quick_shortlist(titles: DataFrame, items: DataFrame, most: int, shared: bool) -> DataFrame:
     """(f, item_id, name, popularity): of each title the ``most`` items of best quick ratio, then popularity, then item_id; ``shared``: only those with a common word.
 
-    ``titles``: f, all different and not empty. ``items``: item_id, name (not empty), popularity.
+    ``titles``: f, all different and not empty. ``items``: item_id, name (not empty), popularity. Items of one name are compared once and
+    told apart afterwards.
     """
+    own = F.row_number().over(W.partitionBy("name").orderBy(F.desc("popularity"), "item_id"))
+    few = items.withColumn("p", own).where(F.col("p") <= most)
+    member = F.struct("p", "item_id", "popularity")
+    named = few.groupBy("name").agg(F.array_sort(F.collect_list(member)).alias("members"), F.count("*").alias("n"))
+    names = named.select("name", "n", F.col("name").alias("item_id"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, best = None, {}
         for batch in batches:
             for row in batch.to_pylist():
+                if block != (row["t_len"], row["t_sub"]):
+                    block, best = (row["t_len"], row["t_sub"]), {f: [] for f in row["t"]}
                 n, m, names = row["t_len"], row["len"], row["names"]
+                asked = [f for f in row["t"] if 2.0 * min(n, m) / (n + m) >= least_quick(best[f])]
+                if not asked:
+                    continue
                 texts = [x["name"] for x in names]
-                quick = 2.0 * common_characters(row["t"], texts) / (n + m)
+                counts = [x["n"] for x in names]
+                quick = 2.0 * common_characters(asked, texts) / (n + m)
                 by_word: dict[str, list[int]] = {}
                 for j, text in enumerate(texts):
                     for word in set(text.split()):
                         by_word.setdefault(word, []).append(j)
-                popularity = np.array([x["popularity"] for x in names])
-                ids = np.array([x["item_id"] for x in names], object)
-                tie = np.lexsort((ids.astype(str), -popularity))
                 out = []
-                for f, line in zip(row["t"], quick, strict=True):
-                    use = np.zeros(len(texts), bool)
-                    use[[j for word in set(f.split()) for j in by_word.get(word, ())]] = True
-                    order = tie[np.argsort(-line[tie], kind="stable")]
-                    order = order[use[order]] if shared else order
-                    out += [(f, names[j]["item_id"], texts[j], names[j]["popularity"], float(line[j])) for j in order[:most]]
+                for f, line in zip(asked, quick, strict=True):
+                    use = np.full(len(texts), not shared)
+                    if shared:
+                        use[[j for word in set(f.split()) for j in by_word.get(word, ())]] = True
+                    use &= line >= least_quick(best[f])
+                    good = np.flatnonzero(use)
+                    levels = best[f] + [(float(line[j]), counts[j]) for j in good]
+                    best[f] = kept_levels(levels, most)
+                    floor = least_quick(best[f])
+                    out += [(f, texts[j], counts[j], float(line[j])) for j in good if line[j] >= floor]
                 if out:
                     columns = zip(*out, strict=True)
-                    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["f", "item_id", "name", "popularity", "quick"])
-
-    found = meetings(titles, items).mapInArrow(search, "f string, item_id string, name string, popularity long, quick double")
+                    kinds = [pa.string(), pa.string(), pa.int64(), pa.float64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["f", "name", "n", "quick"])
+
+    def least_quick(levels: list[tuple[float, int]]) -> float:
+        return levels[-1][0] if sum(n for _, n in levels) >= most else 0.0
+
+    def kept_levels(levels: list[tuple[float, int]], most: int) -> list[tuple[float, int]]:
+        """Ratios with their counts of items, best first, up to the one with which there are ``most``."""
+        total: dict[float, int] = {}
+        for quick, n in levels:
+            total[quick] = total.get(quick, 0) + n
+        kept, have = [], 0
+        for quick in sorted(total, reverse=True):
+            kept.append((quick, total[quick]))
+            have += total[quick]
+            if have >= most:
+                break
+        return kept
+
+    found = meetings(titles, names).mapInArrow(search, "f string, name string, n long, quick double")
+    found = within_levels(found, [F.desc("quick")], most)
+    rows = found.join(named.select("name", "members"), "name").select("f", "name", "quick", F.explode("members").alias("m")).select("f", "name", "quick", "m.item_id", "m.popularity")
     order = W.partitionBy("f").orderBy(F.desc("quick"), F.desc("popularity"), "item_id")
-    return found.withColumn("p", F.row_number().over(order)).where(F.col("p") <= most).select("f", "item_id", "name", "popularity")
+    return rows.withColumn("p", F.row_number().over(order)).where(F.col("p") <= most).select("f", "item_id", "name", "popularity")
 
 
 def grams(text: str) -> dict[str, int]:

@@ -64,3 +64,17 @@ def test_fuzzy_compares_each_name_once(spark, monkeypatch):
     ranked = sorted((-similarity.ratio("red ringz large", x), i) for i, x in items)[:12]
     assert [[(c.item_id, c.score) for c in r.candidates] for r in got] == [[(i, -s) for s, i in ranked]] * 9
     assert seen == [(1, 6)]
+
+
+def test_shortlist_meets_each_name_once(spark, monkeypatch):
+    items, seen = [(i, x, int(i[1:]) % 4) for i, x in catalog()], counted(monkeypatch, similarity, "meetings")
+    a = spark.createDataFrame([("red ringz large",), ("plate",)], "f string")
+    b = spark.createDataFrame([(i, x, p) for i, x, p in items], "item_id string, name string, popularity long")
+    for shared in (False, True):
+        want = set()
+        for f in ("red ringz large", "plate"):
+            quick = lambda x: 2.0 * int(similarity.common_characters([f], [x])[0, 0]) / (len(f) + len(x))  # noqa: B023, E731
+            rows = sorted((-quick(x), -p, i) for i, x, p in items if not shared or set(f.split()) & set(x.split()))
+            want |= {(f, i) for _, _, i in rows[:14]}
+        assert {(r.f, r.item_id) for r in similarity.quick_shortlist(a, b, 14, shared).collect()} == want
+    assert seen == [(2, 6)] * 2
