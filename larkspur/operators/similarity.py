@@ -281,10 +281,13 @@ def shared_parts(titles: DataFrame, items: DataFrame, most: int) -> DataFrame:
 
 
 def with_ratio(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (f, item_id, name, popularity) with ``score``, their matching-block ratio."""
+    """``pairs`` (f, item_id, name, popularity) with ``score``, their matching-block ratio; equal texts are compared once."""
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(score=[ratio(a, b) for a, b in zip(frame["f"], frame["name"], strict=True)])[["f", "item_id", "popularity", "score"]]
+            yield frame.assign(score=[ratio(a, b) for a, b in zip(frame["f"], frame["name"], strict=True)])
 
-    return pairs.mapInPandas(compare, "f string, item_id string, popularity long, score double")
+    # so many tasks whatever the bytes: a pair is little to read and long to work on
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = pairs.select("f", "name").distinct().repartition(tasks, "f", "name").mapInPandas(compare, "f string, name string, score double")
+    return pairs.join(told, ["f", "name"]).select("f", "item_id", "popularity", "score")

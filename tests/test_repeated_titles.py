@@ -78,3 +78,12 @@ def test_shortlist_meets_each_name_once(spark, monkeypatch):
             want |= {(f, i) for _, _, i in rows[:14]}
         assert {(r.f, r.item_id) for r in similarity.quick_shortlist(a, b, 14, shared).collect()} == want
     assert seen == [(2, 6)] * 2
+
+
+def test_ratio_of_equal_pairs_once(spark):
+    rows = spark.createDataFrame([("red ring", f"i{n}", "red rings", n) for n in range(5)] + [("a", "j", "", None)], "f string, item_id string, name string, popularity long")
+    df = similarity.with_ratio(rows)
+    score = round(similarity.ratio("red ring", "red rings"), 12)
+    assert {(r.f, r.item_id, r.popularity, round(r.score, 12)) for r in df.collect()} == {("red ring", f"i{n}", n, score) for n in range(5)} | {("a", "j", None, 0.0)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [f" in plan[plan.index("MapInPandas") :]
