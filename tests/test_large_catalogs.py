@@ -1,8 +1,11 @@
 """Candidates from catalogs that no task can hold."""
 
+import hashlib
 import random
 
-from larkspur.operators import enrich
+import pytest
+
+from larkspur.operators import candidates, enrich
 
 
 def test_token_candidates_against_plain_rules(spark, monkeypatch):
@@ -27,3 +30,26 @@ def test_token_candidates_against_plain_rules(spark, monkeypatch):
     df = enrich.token_candidates(a, b, 7)
     assert {(r.example_id, r.item_id, round(r.score, 9), r.place) for r in df.collect()} == want
     assert "MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString()  # no join on tokens, whose rows are pairs of example and item
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 18, 19, 20, 511, 512, 513, 1023, 1025, 5000, 40000])
+def test_first_places_of_a_shuffle(n):
+    for seed in (0, 7, 2**33 + n, 2**63 + 5):
+        whole = list(range(n))
+        random.Random(seed).shuffle(whole)
+        assert candidates.shuffled_first(seed, n, 19) == whole[:19]
+
+
+def test_seeded_beyond_what_attached_takes(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "MOST_ITEMS", 3)
+    rng = random.Random(3)
+    items = [f"i{n}" for n in range(700)]
+    examples = [(f"e{n}", rng.choice(items), rng.choices(items, k=rng.randint(0, 50))) for n in range(20)] + [("odd", "outside", None), ("all", "i1", items)]
+    df = spark.createDataFrame(examples, "example_id string, target string, history array<string>")
+    catalog = spark.createDataFrame([(i,) for i in [*items, *items[:5], None]], "item_id string")
+    want = {}
+    for e, target, history in examples:
+        others = [i for i in sorted(items) if i not in (history or ()) and i != target]
+        random.Random(int(hashlib.sha256(f"13:{e}".encode()).hexdigest()[:16], 16)).shuffle(others)
+        want[e] = sorted({target, *others[:9]})
+    assert {r.example_id: r.candidates for r in candidates.seeded(df, catalog, 10).collect()} == want
