@@ -5,7 +5,7 @@ import random
 import re
 from collections import Counter
 
-from larkspur.operators import retrieval
+from larkspur.operators import rankers, retrieval, splits
 
 LISTS = "example_id string, history array<string>, candidates array<string>"
 
@@ -27,6 +27,22 @@ def titled(n=40):
     return [(f"i{j:02d}", " ".join(rng.choices(words, k=rng.randint(0, 3)))) for j in range(n)]
 
 
+def test_cooccurrence_of_lists(spark, monkeypatch):
+    monkeypatch.setattr(rankers, "MOST_TRAILS", 3, raising=False)
+    rng = random.Random(2)
+    ids = [f"i{n}" for n in range(8)]
+    rows = [(f"u{u}", rng.choice([*ids, None]), float(t), t, 1) for u in range(15) for t in range(rng.randint(1, 12))]
+    timeline = splits.timeline(spark.createDataFrame(rows, "user_id string, item_id string, ts double, l_orderkey long, l_linenumber int"))
+    pairs = Counter()
+    for u in {r[0] for r in rows}:
+        s = [r[1] for r in rows if r[0] == u]
+        pairs.update((a, s[j]) for j in range(1, len(s) - 2) for a in s[:j] if a is not None and s[j] is not None)
+    asked = lists(rng, ids)
+    want = {(e, c, round(sum(pairs[h, c] * p / len(past) for p, h in enumerate(past, 1)), 9)) for e, past, found in asked for c in found}
+    df = rankers.by_cooccurrence(spark.createDataFrame(asked, LISTS), timeline)
+    assert {(r.example_id, r.item_id, round(r.score, 9)) for r in df.collect()} == want
+
+
 def test_retrieval_of_shared_titles(spark, monkeypatch):
     items, indexed, real = titled(), [], retrieval.index
     monkeypatch.setattr(retrieval, "index", lambda weights: indexed.append(weights.select("item_id").distinct().count()) or real(weights))
