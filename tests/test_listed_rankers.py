@@ -43,6 +43,14 @@ def test_cooccurrence_of_lists(spark, monkeypatch):
     assert {(r.example_id, r.item_id, round(r.score, 9)) for r in df.collect()} == want
 
 
+def test_bm25_of_lists(spark):
+    items = titled()
+    score, asked = bm25(items), lists(random.Random(6), [i for i, _ in items])
+    df = rankers.by_bm25(spark.createDataFrame(asked, LISTS), spark.createDataFrame(items, "item_id string, title string"))
+    got = [(r.example_id, r.item_id, round(r.score, 9)) for r in df.collect()]
+    assert set(got) == {(e, c, round(score(past, c), 9)) for e, past, found in asked for c in found} and len(got) == sum(len(c) for _, _, c in asked)
+
+
 def test_retrieval_of_shared_titles(spark, monkeypatch):
     items, indexed, real = titled(), [], retrieval.index
     monkeypatch.setattr(retrieval, "index", lambda weights: indexed.append(weights.select("item_id").distinct().count()) or real(weights))
