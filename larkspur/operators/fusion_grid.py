@@ -13,8 +13,6 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators.policy import normalized
-
 #: The grids.
 WEIGHTS = {"alpha": [0.5, 0.7, 0.9, 1.0], "beta": [0.1, 0.3, 0.5, 0.7], "gamma": [0.0, 0.1, 0.2], "penalty": [0.0, 0.05, 0.1]}
 GATES = {"margin": [0.0, 0.03, 0.05, 0.08, 0.1], "confidence_min": [0.5, 0.55, 0.6, 0.65, 0.7]}
@@ -31,12 +29,20 @@ def panels(rows: DataFrame) -> DataFrame:
 
     ``own_place`` is the target's place in the fallback's order, null if it isn't a candidate; panels of answers that couldn't be parsed are empty.
     """
-    inside = rows.where("in_panel and parsed").withColumn("lp", F.log1p("popularity"))
-    scaled = {"fb": normalized("fallback_score"), "pr": normalized("preference"), "pp": normalized("lp")}
-    item = F.struct("item_id", "fb", "pr", F.coalesce("confidence", F.lit(0.0)).alias("conf"), "pp", F.col("preference").alias("raw"))
-    inside = inside.withColumns(scaled).groupBy("example_id").agg(F.collect_list(item).alias("panel"), F.sort_array(F.collect_list("place")).alias("slots"))
-    own = rows.groupBy("example_id", "pack", "target").agg(F.max(F.when(F.col("item_id") == F.col("target"), F.col("place"))).alias("own_place"))
-    return own.join(inside, "example_id", "left")
+    inside = F.coalesce(F.col("in_panel") & F.col("parsed"), F.lit(False))
+    item = F.struct("item_id", "fallback_score", "preference", F.coalesce("confidence", F.lit(0.0)).alias("conf"), F.log1p("popularity").alias("lp"))
+    own = F.max(F.when(F.col("item_id") == F.col("target"), F.col("place"))).alias("own_place")
+    lists = [F.collect_list(F.when(inside, item)).alias("panel"), F.sort_array(F.collect_list(F.when(inside, F.col("place")))).alias("slots")]
+    packed = rows.groupBy("example_id", "pack", "target").agg(own, *lists)  # one group, so that rows are made once and their lists need no window
+
+    def scaled(of: str):
+        low, high = F.array_min(F.col("panel")[of]), F.array_max(F.col("panel")[of])
+        return lambda p: F.when(high > low, (p[of] - low) / (high - low)).otherwise(0.0)
+
+    fb, pr, pp = scaled("fallback_score"), scaled("preference"), scaled("lp")
+    told = F.transform("panel", lambda p: F.struct(p["item_id"].alias("item_id"), fb(p).alias("fb"), pr(p).alias("pr"), p["conf"].alias("conf"), pp(p).alias("pp"), p["preference"].alias("raw")))
+    some = lambda c, x: F.when(F.size(c) > 0, x)
+    return packed.select("example_id", "pack", "target", "own_place", some("panel", told).alias("panel"), some("slots", F.col("slots")).alias("slots"))
 
 
 def _mine() -> Column:
