@@ -40,13 +40,18 @@ def sliced(rows: DataFrame, slices: list[str], k: int) -> DataFrame:
 
 
 def coverage(rows: DataFrame, k: int, catalog: DataFrame, groups: list[str] = ()) -> DataFrame:
-    """Distinct top-k items over distinct candidates and over the catalog; covered rows and users."""
+    """Distinct top-k items over distinct candidates and over the catalog; covered rows and users. ``rows`` are read once: items and users are told apart by kind."""
     n = catalog.select("item_id").distinct().agg(F.count("*").alias("catalog"))
-    top = rows.select(*groups, F.explode(F.slice("predicted", 1, k)).alias("item_id")).groupBy(*groups).agg(F.countDistinct("item_id").alias("top"))
-    seen = rows.select(*groups, F.explode("candidates").alias("item_id")).groupBy(*groups).agg(F.countDistinct("item_id").alias("seen"))
-    users = rows.groupBy(*groups).agg(F.avg(F.when(F.size("predicted") > 0, 1.0).otherwise(0.0)).alias("row_coverage"), F.countDistinct("user_id").alias("users"))
-    both = top.join(seen, list(groups)) if groups else top.crossJoin(seen)
-    both = both.join(users, list(groups)) if groups else both.crossJoin(users)
+    tell = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.cast("string").alias("key"), (F.size("predicted") > 0).alias("covered"))
+    top, seen = (F.coalesce(c, F.array().cast("array<string>")) for c in (F.slice("predicted", 1, k), F.col("candidates")))
+    kinds = F.concat(F.transform(top, lambda x: tell("top", x)), F.transform(seen, lambda x: tell("seen", x)), F.array(tell("user", F.col("user_id"))))
+    once = rows.select(*groups, F.explode(kinds).alias("x")).groupBy(*groups, "x.kind", "x.key").agg(F.count("*").alias("rows"), F.count_if("x.covered").alias("covered"))
+    many = lambda kind: F.count_if((F.col("kind") == kind) & F.col("key").isNotNull())
+    users = F.sum(F.when(F.col("kind") == "user", F.col("covered"))) / F.sum(F.when(F.col("kind") == "user", F.col("rows")))
+    some = F.count_if(F.col("kind") == "top") > 0, F.count_if(F.col("kind") == "seen") > 0
+    both = once.groupBy(*groups).agg(many("top").alias("top"), many("seen").alias("seen"), users.alias("row_coverage"), many("user").alias("users"), (some[0] & some[1]).alias("some"))
+    if groups:  # a group without any prediction or candidate has no row, as one that is null
+        both = both.where("some").where(" and ".join(f"`{g}` is not null" for g in groups))
     both = both.join(F.broadcast(n), F.lit(True))
     return both.select(*groups, (F.col("top") / F.col("seen")).alias("coverage"), (F.col("top") / F.col("catalog")).alias("catalog_coverage"), "row_coverage", "users")
 
