@@ -4,7 +4,8 @@ Users and items are dealt to ``parts`` blocks each, pairs to parts * parts block
 of user block b holds that block's factors, those of item block b + s, and the pairs of both, so no two tasks of a turn share a user
 or an item and their steps don't disturb one another. Factors travel between turns, pairs don't change. After every
 epoch the factors are written to the shared folder. A pair's steps come in another order than in one sequential pass, and that
-is the only difference to it.
+is the only difference to it. Inside a block, pairs that share no row with an earlier one left to do are stepped together; each
+row still goes through its steps in the block's order.
 """
 
 from __future__ import annotations
@@ -54,6 +55,44 @@ def steps(users: np.ndarray, items: np.ndarray, pairs: np.ndarray, step: float,
         b += back
 
 
+FEW = 16  # pairs of one rank that are stepped one by one
+
+
+def ranks(pairs: np.ndarray) -> np.ndarray:
+    """1 for a pair whose user and item no earlier pair has, else one more than the largest rank of these earlier pairs: pairs of one rank share nothing."""
+    users, items = [0] * (int(pairs[:, 0].max(initial=-1)) + 1), [0] * (int(pairs[:, 1].max(initial=-1)) + 1)
+    out = np.empty(len(pairs), np.int32)
+    for start in range(0, len(pairs), 1 << 16):
+        told = []
+        for u, i in pairs[start : start + (1 << 16)].tolist():
+            a, b = users[u], items[i]
+            r = (a if a > b else b) + 1
+            users[u] = items[i] = r
+            told.append(r)
+        out[start : start + len(told)] = told
+    return out
+
+
+def ranked_steps(users: np.ndarray, items: np.ndarray, pairs: np.ndarray, step: float, ridge: float) -> None:
+    """``steps`` over ``pairs`` in the order of their ``ranks``, all pairs of a rank at once: each row goes through the same steps in the same order as by ``steps`` in the
+    order of ``pairs``, whose rows (place of user, place of item, rank) come sorted by rank."""
+    ends = np.flatnonzero(np.diff(pairs[:, 2], append=-1)) + 1
+    start = 0
+    for end in ends.tolist():
+        if end - start < FEW:
+            steps(users, items, pairs[start:end, :2], step, ridge)
+        else:
+            u, i = pairs[start:end, 0], pairs[start:end, 1]
+            a, b = users[u], items[i]
+            error = 1.0 - (np.einsum("ij,ij->i", a[:, :-1], b[:, :-1]) + a[:, -1] + b[:, -1])[:, None]
+            moved = step * (error * b - ridge * a)
+            moved[:, -1:] = step * (error - ridge * a[:, -1:])
+            back = step * (error * a - ridge * b)
+            back[:, -1:] = step * (error - ridge * b[:, -1:])
+            users[u], items[i] = a + moved, b + back
+        start = end
+
+
 def _blocks(ids: DataFrame, kind: str, parts: int, factors: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """(id, block, place) of ids, and the blocks' first factors."""
     placed = ids.select("id").distinct().withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(parts)).cast("int"))
@@ -84,6 +123,8 @@ def fit(pairs: DataFrame, items: DataFrame, factors: int = FACTORS, epochs: int
     def pack(t: pa.Table) -> pa.Table:
         data = np.stack([t.column("u").to_numpy(), t.column("i").to_numpy()], 1).astype("<i4")
         data = data[np.lexsort((data[:, 1], data[:, 0]))]
+        rank = ranks(data)
+        data = np.column_stack([data, rank])[np.argsort(rank, kind="stable")].astype("<i4")
         return pa.Table.from_pylist([{"kind": "p", "block": t.column("block")[0].as_py(), "other": t.column("other")[0].as_py(), "n": len(data), "data": data.tobytes()}], schema=_FIELDS)
 
     packed = checkpointed(coded.groupBy("block", "other").applyInArrow(pack, _SCHEMA))
@@ -94,7 +135,7 @@ def fit(pairs: DataFrame, items: DataFrame, factors: int = FACTORS, epochs: int
         out = [r for r in (rows.get("u"), rows.get("i")) if r]
         if len(rows) == 3:
             grids = {k: np.frombuffer(rows[k]["data"], "<f8").reshape(rows[k]["n"], -1).copy() for k in "ui"}
-            steps(grids["u"], grids["i"], np.frombuffer(rows["p"]["data"], "<i4").reshape(-1, 2), step, ridge)
+            ranked_steps(grids["u"], grids["i"], np.frombuffer(rows["p"]["data"], "<i4").reshape(-1, 3), step, ridge)
             out = [rows[k] | {"data": grids[k].tobytes()} for k in "ui"]
         return pa.Table.from_pylist(out, schema=_FIELDS)
 
@@ -107,9 +148,14 @@ def fit(pairs: DataFrame, items: DataFrame, factors: int = FACTORS, epochs: int
         state = checkpointed(state)
 
     def unpack(t: pa.Table) -> pa.Table:
-        rows = [(r["block"], np.frombuffer(r["data"], "<f8").reshape(r["n"], -1)) for r in t.to_pylist()]
-        out = [{"block": block, "place": j, "factors": line[:-1].tolist(), "bias": float(line[-1])} for block, grid in rows for j, line in enumerate(grid)]
-        return pa.Table.from_pylist(out, schema=pa.schema([("block", pa.int32()), ("place", pa.int32()), ("factors", pa.list_(pa.float64())), ("bias", pa.float64())]))
+        kinds = pa.schema([("block", pa.int32()), ("place", pa.int32()), ("factors", pa.list_(pa.float64())), ("bias", pa.float64())])
+        parts = []
+        for r in t.to_pylist():
+            grid = np.frombuffer(r["data"], "<f8").reshape(r["n"], -1)
+            n, wide = grid.shape[0], grid.shape[1] - 1
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * wide, pa.int32()), pa.array(np.ascontiguousarray(grid[:, :-1]).ravel()))
+            parts.append(pa.Table.from_arrays([pa.array(np.full(n, r["block"], np.int32)), pa.array(np.arange(n, dtype=np.int32)), lists, pa.array(grid[:, -1].copy())], schema=kinds))
+        return pa.concat_tables(parts) if parts else kinds.empty_table()
 
     def told(kind: str, places: DataFrame) -> DataFrame:
         flat = state.where(F.col("kind") == kind).groupBy("block").applyInArrow(unpack, "block int, place int, factors array<double>, bias double")
