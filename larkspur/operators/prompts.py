@@ -18,14 +18,22 @@ def prompt_context(examples: DataFrame, items: DataFrame, policy: str = "title_o
     ban = F.array("target") if excluded is None else excluded
     rows = examples.withColumn("excluded_item_ids", F.array_sort(F.array_distinct(F.filter(ban, lambda x: F.coalesce(x != "", F.lit(False))))))
     names = items.dropDuplicates(["item_id"]).select("item_id", T.item_text(policy).alias("text"))
+    none = F.array().cast("array<string>")
 
-    def shown(column: str, ids: str, titles: str) -> DataFrame:
-        tall = rows.select("example_id", "excluded_item_ids", F.posexplode(column).alias("p", "item_id")).where(~F.array_contains("excluded_item_ids", F.coalesce("item_id", F.lit(""))))
-        lists = tall.join(names, "item_id").groupBy("example_id").agg(F.array_sort(F.collect_list(F.struct("p", "item_id", "text"))).alias("x"))
-        return lists.select("example_id", F.col("x.item_id").alias(ids), F.to_json("x.text").alias(titles))
+    def hidden(x: Column) -> Column:
+        return F.array_contains("excluded_item_ids", F.coalesce(x, F.lit("")))
 
-    none = F.array().cast("array<string>")
-    out = rows.join(shown("history", "history_item_ids", "history_titles"), "example_id", "left").join(shown("candidates", "prompt_candidate_item_ids", "candidate_titles"), "example_id", "left")
-    filled = {c: F.coalesce(c, none) for c in ("history_item_ids", "prompt_candidate_item_ids")} | {c: F.coalesce(c, F.lit("[]")) for c in ("history_titles", "candidate_titles")}
-    left_out = F.filter(F.coalesce("history", none), lambda x: F.array_contains("excluded_item_ids", F.coalesce(x, F.lit(""))))
-    return out.withColumns(filled).withColumns({"history_excluded_item_ids": left_out, "target_excluded_from_prompt": F.array_contains("excluded_item_ids", F.coalesce("target", F.lit("")))})
+    def placed(column: str, side: int) -> Column:
+        return F.transform(F.coalesce(column, none), lambda x, p: F.struct(F.lit(side).alias("side"), p.alias("p"), x.alias("item_id")))
+
+    def shown(side: int, field: str) -> Column:
+        return F.transform(F.filter("met", lambda x: x["side"] == side), lambda x: x[field])
+
+    # both lists meet the catalog together
+    asked = F.filter(F.concat(placed("history", 0), placed("candidates", 1)), lambda x: ~hidden(x["item_id"]))
+    met = rows.select("example_id", F.inline(asked)).join(names, "item_id")
+    met = met.groupBy("example_id").agg(F.array_sort(F.collect_list(F.struct("side", "p", "item_id", "text"))).alias("met"))
+    ids = {c: F.coalesce(shown(side, "item_id"), none) for side, c in enumerate(("history_item_ids", "prompt_candidate_item_ids"))}
+    titles = {c: F.coalesce(F.to_json(shown(side, "text")), F.lit("[]")) for side, c in enumerate(("history_titles", "candidate_titles"))}
+    told = {"history_excluded_item_ids": F.filter(F.coalesce("history", none), hidden), "target_excluded_from_prompt": hidden(F.col("target"))}
+    return rows.join(met, "example_id", "left").withColumns(ids | titles | told).drop("met")
