@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType
 
 from .common import lean, table
 from .piecewise import byte_level, library
@@ -73,21 +73,26 @@ def split_ids(ids: np.ndarray, decoded: bytes, model: str = MODEL) -> np.ndarray
     return np.frombuffer(decoded, np.uint8)[offsets(ids, model)[:, 0]] & 0xC0 == 0x80 if len(ids) else np.zeros(0, bool)
 
 
-def encode_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` (array of int): whole texts, null as empty."""
-    kept = [c for c in docs.columns if c != "ids"]
+def encode_documents(docs: DataFrame, text: str = "text", checked: str | None = None) -> DataFrame:
+    """``docs`` with ``ids`` (array of int): whole texts, null as empty. ``checked``: a column that says whether the ids decode to the text, told in the
+    same pass, so that a task has one Python worker and ids don't travel to another."""
+    kept = [c for c in docs.columns if c not in ("ids", checked)]
     docs = docs.select(*kept)
     schema = docs.select(*kept).schema.add("ids", ArrayType(IntegerType()))
-    names = [*kept, "ids"]
+    if checked:
+        schema = schema.add(checked, BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [x.astype(np.int32) for x in encode([x or "" for x in part.column(text).to_pylist()])]
+                texts = [x or "" for x in part.column(text).to_pylist()]
+                ids = [x.astype(np.int32) for x in encode(texts)]
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                column = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), column], names=names)
+                columns = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat))]
+                if checked:
+                    columns.append(pa.array([decode(x) == t.encode() for x, t in zip(ids, texts, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *columns], names=schema.names)
 
     return docs.mapInArrow(lean(run), schema)
 

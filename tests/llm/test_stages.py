@@ -94,3 +94,17 @@ def test_byte_bpe_goes_round(spark):
     assert len(out) == len(rows) and all(r.round_trip for r in out)
     sizes = {r.doc_id: r.n_tokens for r in out}
     assert sizes[7] == 0 and sizes[6] == 0 and sizes[8] > 30_000
+
+
+def test_byte_bpe_checks_in_its_one_pass(spark):
+    out, _ = run(spark, "byte_bpe", awkward())
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "round_trip"]
+
+
+def test_check_agrees_with_decoding(spark):
+    from larkspur.llm import byte_bpe
+
+    docs = spark.createDataFrame([(1, "Grüße 😀"), (2, None), (3, "x")], "doc_id long, text string")
+    told = byte_bpe.encode_documents(docs, checked="same").join(byte_bpe.decode_documents(byte_bpe.encode_documents(docs)), "doc_id").select("same", "decoded").collect()
+    assert all(r.same for r in told) and sorted(bytes(r.decoded).decode() for r in told) == ["", "Grüße 😀", "x"]
