@@ -32,6 +32,14 @@ def test_token_candidates_against_plain_rules(spark, monkeypatch):
     assert "MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString()  # no join on tokens, whose rows are pairs of example and item
 
 
+def test_token_candidates_lay_out_no_catalog_for_each_task_at_the_driver(spark):
+    items = [(f"i{n:03d}", f"word{n % 50} other{n % 7} long title", n % 5) for n in range(300)]
+    a = spark.createDataFrame([(f"e{n}", "i001", ["i002", f"i{n:03d}"]) for n in range(50)], "example_id string, target string, history array<string>")
+    df = enrich.token_candidates(a, spark.createDataFrame(items, "item_id string, title string, popularity long"), 7)
+    plan = df._jdf.queryExecution()
+    assert df.count() == 50 * 7 and "Join" not in plan.optimizedPlan().toString() and "Broadcast" not in plan.executedPlan().toString()
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 18, 19, 20, 511, 512, 513, 1023, 1025, 5000, 40000])
 def test_first_places_of_a_shuffle(n):
     for seed in (0, 7, 2**33 + n, 2**63 + 5):
