@@ -155,9 +155,14 @@ def sequence_rows(examples: DataFrame, timeline: DataFrame, most: int = 50) -> D
     rows = examples.select("user_id", T.normalize_split(F.col("split")).alias("split"), F.filter("history", lambda x: x != "").alias("history"), "target", target_index(examples.columns).alias("at"))
     rows = rows.where("user_id != '' and target != '' and size(history) > 0 and split in ('train', 'valid', 'test')")
     recent = F.slice("history", F.greatest(F.size("history") - most, F.lit(0)) + 1, most)
-    spots = timeline.select("user_id", F.col("idx").alias("at"), F.col("item_id").alias("target"), "ts")
-    placed = rows.withColumn("history", recent).join(spots, ["user_id", "at", "target"], "left")
-    return placed.select("split", "user_id", F.col("target").alias("item_id"), F.col("history").alias("item_id_list"), F.coalesce("ts", F.size("history").cast("double")).alias("timestamp"))
+    # a timeline is one row and meets its examples by user alone: these lie by user already, so histories aren't moved again
+    lines = timeline.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("idx", F.col("item_id").alias("there"), "ts"))).alias("line"))
+    placed = rows.withColumn("history", recent).join(lines, "user_id", "left")
+    there = F.get("line", F.col("at"))
+    there = F.when(there["idx"] == F.col("at"), there).otherwise(F.get(F.filter("line", lambda x: x["idx"] == F.col("at")), F.lit(0)))
+    placed = placed.select("split", "user_id", "target", "history", there.alias("x"))
+    ts = F.coalesce(F.when(F.col("x.there") == F.col("target"), F.col("x.ts")), F.size("history").cast("double"))
+    return placed.select("split", "user_id", F.col("target").alias("item_id"), F.col("history").alias("item_id_list"), ts.alias("timestamp"))
 
 
 def export(df: DataFrame, path: str, order: list[str] | None = None) -> None:

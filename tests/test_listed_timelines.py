@@ -1,6 +1,9 @@
 """Candidates with known facts and predictions from one row per user and example, against the row forms."""
 
+from pyspark.sql import functions as F
+
 from larkspur.operators import candidates, fusion_grid, popularity, rankers, splits
+from larkspur.sources import atomic
 
 ROWS = [("u", "a", 3.0, 1, 1), ("u", "b", None, 2, 1), ("u", None, 1.0, 3, 1), ("u", "a", 3.0, 4, 1), ("u", "c", 4.0, 5, 1), ("u", "b", 5.0, 6, 1), ("v", "x", 1.0, 7, 1),
         ("w", "x", 1.0, 8, 1), ("w", "y", 1.0, 8, 2), (None, "p", 1.0, 9, 1), (None, "q", 2.0, 10, 1)]
@@ -44,3 +47,21 @@ def test_panels_read_their_rows_once(spark):
     got = {r.example_id: r for r in out.collect()}
     assert {(p.item_id, p.fb, p.pr, p.conf, p.pp, p.raw) for p in got["e"].panel} == {("a", 1.0, 0.0, 0.5, 1.0, 0.1), ("b", 0.0, 1.0, 0.0, 0.0, 0.3)}
     assert got["e"].slots == [1, 2] and got["e"].own_place == 1 and (got["f"].panel, got["f"].slots, got["f"].own_place) == (None, None, 5)
+
+
+def test_sequence_rows_move_no_history(spark):
+    inter = spark.createDataFrame([(f"u{n % 5}", f"i{n % 7}", float(n // 3), n, 1) for n in range(60)], "user_id string, item_id string, ts double, l_orderkey long, l_linenumber int")
+    examples, line = splits.leave_one_out(inter), splits.timeline(inter)
+    # one user starts late, one has another item at a place, one has no timeline
+    line = line.where("user_id != 'u4' and (user_id != 'u2' or idx >= 3)").withColumn("item_id", F.when(F.expr("user_id = 'u3' and idx = 5"), "other").otherwise(F.col("item_id")))
+    known = {(r.user_id, r.idx, r.item_id): r.ts for r in line.collect()}
+    want = sorted((r.split, r.user_id, r.target, r.history[-4:], known.get((r.user_id, r.idx, r.target), float(len(r.history[-4:])))) for r in examples.collect())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = atomic.sequence_rows(examples, line, 4)
+        assert sorted(tuple(r) for r in df.collect()) == want and len(want) == 55
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert not any("Exchange" in row and ", at#" in row for row in plan.splitlines())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
