@@ -45,3 +45,15 @@ def test_without_pairs(spark):
     none = spark.createDataFrame([], "user_id string, item_id string")
     model = factorise.fit(none, spark.createDataFrame([("x",)], "item_id string"), epochs=1, parts=2)
     assert model.users.count() == 0 and [r["bias"] for r in model.items.collect()] == [0.0]
+
+
+def test_blocks_of_the_implicit_fit_follow_the_rows(spark, monkeypatch):
+    from larkspur.operators import rankers
+
+    inter = spark.createDataFrame([(str(n % 37), str(n * 7 % 41)) for n in range(600)], "user_id string, item_id string")
+    monkeypatch.setattr(rankers, "BLOCK_ROWS", 30, raising=False)
+    model = rankers.factorised(inter)
+    assert model.userFactors.rdd.getNumPartitions() == model.itemFactors.rdd.getNumPartitions() == 20
+    assert {r.id for r in model.userFactors.collect()} == set(range(37)) and {r.id for r in model.itemFactors.collect()} == set(range(41))
+    monkeypatch.setattr(rankers, "BLOCK_ROWS", 10**6, raising=False)
+    assert rankers.factorised(inter).userFactors.rdd.getNumPartitions() == 10
