@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from larkspur.operators import candidates, evidence, splits
@@ -46,3 +47,24 @@ def test_repetition_makes_no_row_for_a_pair(spark):
     assert got == {("e", "a"): 0.42, ("e", "b"): 1.0, ("e", "new"): 0.0, ("f", "a"): 0.0, ("g", "c"): 0.0}
     exploded = [line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate explode" in line]
     assert len(exploded) == 1 and "history" in exploded[0]
+
+
+def test_repetition_tells_pairs_in_arrays(spark):
+    rng = random.Random(8)
+    words = [f"word{n}" for n in range(9)]
+    items = [(f"i{n}", rng.choice(["A", "b", None]), rng.choice(["x", "Y", None]), rng.choice([" ".join(rng.sample(words, rng.randint(0, 9))), None])) for n in range(40)]
+    fields = {i: (c and c.lower(), b and b.lower(), set(w for w in (t or "").split() if len(w) > 2)) for i, c, b, t in items} | {"gone": (None, None, set())}
+    histories = [(f"e{n}", rng.choices([*fields], k=rng.choice([0, 1, 7, 70]))) for n in range(30)] + [("none", None)]
+    rows = [(e, rng.choice([*fields]), n) for e, _ in [*histories, ("unknown", None)] for n in range(rng.randint(1, 6))]
+    want, past = [], dict(histories)
+    for e, i, n in rows:
+        c, b, t = fields[i]
+        last = [fields[x] for x in (past.get(e) or [])[-50:]]
+        parts = [(0.55 if c and c == x[0] else 0.0) + (0.25 if b and b == x[1] else 0.0) + min(0.2, 0.04 * len(t & x[2])) for x in last]
+        want.append((e, i, n, 1.0 if i in (past.get(e) or []) else round(min(1.0, sum(parts) / max(len(parts), 1)), 11)))
+    df = evidence.repetition(
+        spark.createDataFrame(rows, "example_id string, item_id string, n int"), spark.createDataFrame(items, "item_id string, category string, brand string, title string"),
+        spark.createDataFrame(histories, "example_id string, history array<string>"),
+    )
+    assert sorted((r.example_id, r.item_id, r.n, round(r.history_risk, 11)) for r in df.collect()) == sorted(want)
+    assert "array_intersect" not in df._jdf.queryExecution().optimizedPlan().toString()  # a set made anew for each pair
