@@ -62,3 +62,16 @@ def test_retrieval_of_shared_titles(spark, monkeypatch):
     df = retrieval.by_bm25(spark.createDataFrame(asked, LISTS), spark.createDataFrame(items, "item_id string, title string"), 9)
     assert {(r.example_id, r.item_id, round(r.score, 9), r.place) for r in df.collect()} == want
     assert indexed == [len({tuple(sorted(t.split())) for _, t in items if t})] and indexed[0] < 30
+
+
+def test_bm25_moves_titles_as_one_text(spark):
+    items = spark.createDataFrame([("a", "Red ring, red"), ("b", "ring"), ("c", ""), ("d", None), ("e", "blue steel ring 7")], "item_id string, title string")
+    lists = spark.createDataFrame([("x", ["a", "b", "gone"], ["a", "c", "e"]), ("y", [], ["b", "new"]), ("z", ["e", "e"], ["d", "e"])], "example_id string, history array<string>, candidates array<string>")
+    df = rankers.by_bm25(lists, items)
+    weight = {(r.item_id, r.t): r.w for r in retrieval.bm25_weights(items).collect()}
+    w = lambda item, **often: round(sum(n * weight.get((item, t), 0.0) for t, n in often.items()), 9)
+    x, z = {"red": 2, "ring": 2}, {"blue": 2, "steel": 2, "ring": 2, "7": 2}
+    want = {("x", "a"): w("a", **x), ("x", "c"): 0.0, ("x", "e"): w("e", **x), ("y", "b"): 0.0, ("y", "new"): 0.0, ("z", "d"): 0.0, ("z", "e"): w("e", **z)}
+    assert {(r.example_id, r.item_id): round(r.score, 9) for r in df.collect()} == want and want["x", "a"] > want["x", "e"] > 0
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" in plan and "flatten(" not in plan  # no list of a title's tokens for each history item
