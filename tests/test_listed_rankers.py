@@ -75,3 +75,25 @@ def test_bm25_moves_titles_as_one_text(spark):
     assert {(r.example_id, r.item_id): round(r.score, 9) for r in df.collect()} == want and want["x", "a"] > want["x", "e"] > 0
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "array_join" in plan and "flatten(" not in plan  # no list of a title's tokens for each history item
+
+
+def test_item_blocks_are_not_joined_to_their_meetings(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "ITEM_BLOCK", 3)
+    monkeypatch.setattr(retrieval, "EXAMPLE_BLOCK", 2)
+    plans, real = [], retrieval.checkpointed
+    monkeypatch.setattr(retrieval, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    items = [(f"i{n:02d}", f"w{n % 4} v{n % 5} u{n % 3}") for n in range(30)]
+    rows = [(f"e{n}", [f"i{n:02d}", f"i{2 * n:02d}"]) for n in range(9)]
+    got = retrieval.by_bm25(spark.createDataFrame(rows, "example_id string, history array<string>"), spark.createDataFrame(items, "item_id string, title string"), 5).collect()
+    frame = spark.createDataFrame(items, "item_id string, title string")
+    weight, title = {}, dict(items)
+    for r in retrieval.bm25_weights(frame).collect():
+        weight[r.item_id, r.t] = r.w
+    want = set()
+    for e, history in rows:
+        asked = Counter(t for i in history for t in title[i].split())
+        scores = sorted((-round(sum(n * weight.get((i, t), 0.0) for t, n in asked.items()), 9), i) for i, _ in items)[:5]
+        want |= {(e, i, -s + 0.0, place) for place, (s, i) in enumerate(scores, 1)}
+    assert {(r.example_id, r.item_id, round(r.score, 9), r.place) for r in got} == want
+    met = next(plan for plan in plans if "MapInArrow" in plan)
+    assert "Union" in met and "items" in met  # blocks of items and their meetings come by one shuffle
